@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import exact_dedup, mixing, packing, pii, quality, token_files, url_filter, warc
+from tidewater.llm import exact_dedup, mixing, near_dup, packing, pii, quality, repeats, token_files, url_filter, warc
 from tidewater.llm.oracles import ORACLES
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.sanitise(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -34,6 +38,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("seq")
 
@@ -54,8 +62,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), end_id=2)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_pii, op3_warc, op4_url_filter, op6_exact_dedup, op7_packing, op8_mixing, op9_quality, op10_token_files]
+    named = [op1_pii, op2_suffix_dedup, op3_warc, op4_url_filter, op5_near_dup, op6_exact_dedup, op7_packing, op8_mixing, op9_quality, op10_token_files, pipeline]
     return {f.__name__: f for f in named}
 
 
