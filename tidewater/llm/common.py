@@ -69,8 +69,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Rounds of large-star and small-star, each written to the shared folder,
     until the edges no longer change. Returns (node, root), root being the
-    least node of the component; nodes without an edge to another one are
-    absent. A star's centre is never gathered in one task: every round is a
+    least node of the component; the root itself included; nodes without an edge to another
+    one are absent. A star's centre is never gathered in one task: every round is a
     minimum per node (combined map-side) and a join that may be split.
     """
     spark = edges.sparkSession
@@ -87,5 +87,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         e = written(j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(j.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         last = tuple(now)
