@@ -251,7 +251,9 @@ def _by_windows(contexts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["w1", "w2", "row", "start", "n"])
 
     windows = written(contexts.mapInArrow(make, "w1 long, w2 long, row long, start long, n long"), "windows")
-    twice = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "twice")
+    # a window may lie around two anchors: what counts is two places
+    place = F.struct("row", "start")
+    twice = written(windows.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("w1", "w2"), "twice")
     return windows.where("n = 1").join(twice, ["w1", "w2"]).select("row", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
