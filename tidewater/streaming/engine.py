@@ -92,6 +92,8 @@ class Engine:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
 
     def _open_stream(self, name: str) -> tuple[DataFrame, str | None]:
+        if self.catalog.has("VIEW", name):
+            raise PlanError(f"{name} is a view: a continuous query reads streams")
         s = self.catalog.get("STREAM", name)
         if s.frame is not None:
             df = s.frame
@@ -327,9 +329,6 @@ class Engine:
         return q.source.kind == "join" and is_aggregate(q)
 
     def _start(self, q: Select, sql: str, kind: str, sink: str, put, name: str | None = None) -> Query:
-        for n in sources(q.source):
-            if self.catalog.has("VIEW", n):
-                raise PlanError(f"{n} is a view: a continuous query reads streams")
         name = name or f"q_{uuid.uuid4().hex[:8]}"
         query = Query(name, sql, kind, sources(q.source), sink)
         self.catalog.add("QUERY", name, query)
