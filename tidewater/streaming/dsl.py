@@ -9,6 +9,7 @@ plain frames, so batch and streaming sources work alike.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -154,7 +155,7 @@ class Grouped:
         by, df = self._by(), self.stream.df
         ts = self.stream.ts
         if df.isStreaming:
-            raise ValueError("a fold over a stream needs its state kept: use Stream.df with transformWithStateInPandas")
+            return self._folded(init, step, finish, kind, name)
         keyed = df
         names = []
         for i, k in enumerate(by):
@@ -172,6 +173,30 @@ class Grouped:
         schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + [f"`{name}` {kind}"])
         return self._shown(keyed.groupBy(*names).applyInPandas(fold, schema).withColumnRenamed("key_0", "window_") if self.windows else keyed.groupBy(*names).applyInPandas(fold, schema))
 
+    def _folded(self, init: Any, step: Callable, finish: Callable, kind: str, name: str) -> Table:
+        """The fold over an unbounded stream: the accumulator of each key is kept in the state store; output mode update."""
+        if self.windows is not None:
+            raise ValueError("a windowed fold over a stream: use agg, or window the keys")
+        keys = list(self.keys)
+        kinds = {f.name: f.dataType.simpleString() for f in self.stream.df.schema}
+
+        def fold(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+            acc = pickle.loads(state.get[0]) if state.exists else init
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    acc = step(acc, row)
+            state.update((pickle.dumps(acc),))
+            yield pd.DataFrame([[*key, finish(acc)]], columns=[*keys, name])
+
+        schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{name}` {kind}"])
+        out = self.stream.df.groupBy(*keys).applyInPandasWithState(fold, schema, "acc binary", "update", "NoTimeout")
+        return Table(out, keys)
+
+    def process(self, processor: Any, schema: str, mode: str = "append", time: str = "none", initial: Any = None) -> Stream:
+        """Any stateful operator, with value, list and map states and timers: a StatefulProcessor, run by Spark's transformWithStateInPandas (needs the RocksDB state store)."""
+        out = self.stream.df.groupBy(*self.keys).transformWithStateInPandas(processor, schema, mode, time, initial)
+        return Stream(out, self.stream.ts if self.stream.ts in out.columns else None)
+
     def _shown(self, out: DataFrame) -> Table:
         if self.windows is None:
             return Table(out, [c for c in out.columns if c in self.keys])
