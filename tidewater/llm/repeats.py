@@ -41,7 +41,8 @@ from tidewater.llm.rolling import Prefix
 LENGTH, GRAM = 200, 48
 #: Bytes left of an anchor that its windows reach.
 LEFT = LENGTH - GRAM
-CLASS = 2048
+#: Contexts of one group that a task compares: each takes about 2 kB there.
+CLASS = 1 << 16
 PIECE = 2 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
