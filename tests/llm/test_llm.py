@@ -429,6 +429,18 @@ def test_token_files(docs, empty, monkeypatch):
     assert got(token_files.round_trip(empty, BYTE, 2)) == []
 
 
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
+def test_encoder(path, kind, monkeypatch):
+    """Cut into pre-tokens or not, the ids are the tokenizer's; also when the cache turns over all the time."""
+    from tidewater.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "KEPT", 50)
+    rng, e = random.Random(6), tokenize.Encoder(path, kind)
+    alphabet = [*"abcABC  \n\t'\"!?.,-_0129é×²ªß÷ÀÉŸǅǆÞıİ€<|>s t re ll d m\r", "'s", "'LL", " '", "  ", "\n\n", "Straße", "ﬁ", "\x1c", "<|endoftext|>", "\u0301"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    assert e(texts) == [e.whole(t) for t in texts]
+
+
 def test_codes():
     rng = np.random.default_rng(4)
     for ids in (np.zeros(0, np.uint32), np.array([0, 255, 256, 65535, 65536, 2**32 - 1], np.uint32), rng.integers(0, 70000, 5000).astype(np.uint32), np.minimum(rng.geometric(0.01, 3000), 2**31).astype(np.uint32)):
