@@ -210,3 +210,44 @@ def test_fluent(spark, clicks):
     assert s.join_table(s.table("k"), ["k"]).df.count() == 4
     assert s.map_batches(lambda it: (p[p.v > 9] for p in it), clicks.schema.simpleString()[7:-1].replace(":", " ")).df.count() == 2
     s.to("noop")
+
+
+def test_time_of_day(spark):
+    casts = "'10:41:03' :: TIME :: STRING AS a, CAST(TIME '01:02:03.456' AS STRING) AS b, '14:61:59' :: TIME AS c, TIME '00:00:05' :: TIMESTAMP AS d, CAST(TIMESTAMP '2023-06-30T12:30:45+02:00' AS TIME) AS e"
+    a, b, c, d, e = one(spark, f"SELECT {casts} FROM s;")
+    assert (a, b, c, d.second, e) == ("10:41:03", "01:02:03.456", None, 5, ((10 * 60 + 30) * 60 + 45) * 1_000_000)
+    assert one(spark, "SELECT IS_TIME(TIME '10:00:00') AS f, IS_INT(TIME '10:00:00') AS g, IS_TIME('10:00:00' :: TIME) AS i, TO_STR(TIME '10:00:00') AS j FROM s;") == (True, False, True, "10:00:00")
+    a, b, c = one(spark, "SELECT 'PT1H30M' :: INTERVAL AS a, 'P1DT2.5S' :: INTERVAL AS b, 'soon' :: INTERVAL AS c FROM s;")
+    assert (a.total_seconds(), b.total_seconds(), c) == (5400, 86402.5, None)
+    assert one(spark, "SELECT {1.5, -1.5} :: INTEGER[] AS h FROM s;") == ([1, -2],)
+
+
+def test_declared_time(engine):
+    engine.execute("CREATE STREAM s (t TIME, n INTEGER);")
+    engine.execute("INSERT INTO s (t, n) VALUES (TIME '01:00:00', 1);")
+    r = engine.sql("SELECT IS_TIME(t) AS a, IS_INT(t) AS b, IS_INT(n) AS c, TO_STR(t) AS d FROM s;").first()
+    assert tuple(r) == (True, False, True, "01:00:00")
+
+
+def test_named_engine_recovers(spark, tmp_path):
+    def opened():
+        return Engine(spark, f"file://{tmp_path}", name="main")
+
+    e = opened()
+    e.execute("CREATE STREAM s (a INTEGER, b INTEGER);")
+    e.execute("INSERT INTO s (a, b) VALUES (1, 7);")
+    e.wait(e.execute("CREATE VIEW v AS SELECT b, SUM(a) AS n FROM s GROUP BY b;"))
+    q = e.execute("CREATE STREAM t AS SELECT a FROM s;")
+    e.wait(q)
+    e.execute(f"TERMINATE QUERY {q.name};")
+    e.execute("CREATE SINK CONNECTOR c TO blackhole WITH (stream = 's');")
+    later = opened()  # the first one is lost
+    later.execute("INSERT INTO s (a, b) VALUES (2, 7);")
+    assert tuple(later.sql("SELECT b, n FROM v;").first()) == (7, 1)
+    found = later.recover()
+    assert [x.kind for x in found] == ["view"]  # what was terminated stays so
+    later.wait(found[0])
+    assert tuple(later.sql("SELECT b, n FROM v;").first()) == (7, 3)
+    assert [r.status for r in later.sql("SHOW CONNECTORS;").collect()] == ["RUNNING"]
+    later.execute("DROP CONNECTOR c;")
+    assert opened().sql("SHOW CONNECTORS;").count() == 0 and opened().sql("SHOW STREAMS;").count() == 2

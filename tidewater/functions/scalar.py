@@ -134,6 +134,13 @@ def _join(a: Column, d: Column) -> Column:
 
 FUNCTIONS = {**MATH, **TEXT, **TIME, **ARRAY, **NULLS}
 
+class TimeOfDay(T.LongType):
+    """A TIME: microseconds of the day in a long, which every sink can store. Columns that hold one say so in their metadata."""
+
+
+TIME_COLUMN = {"kind": "TIME"}
+_DAY = 86_400_000_000
+
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TESTS = {
@@ -144,7 +151,7 @@ TESTS = {
     "IS_STR": ((T.StringType,), "^STRING$"),
     "IS_ARRAY": ((T.ArrayType,), "^ARRAY.*$"),
     "IS_DATE": ((T.DateType,), "^DATE$"),
-    "IS_TIME": ((getattr(T, "TimeType", T.NullType),), "^TIME.*$"),
+    "IS_TIME": ((TimeOfDay,), "^TIME.*$"),
 }
 
 
@@ -153,13 +160,45 @@ def type_test(name: str, x: Column, kind: T.DataType) -> Column:
     types, pattern = TESTS[name]
     if isinstance(kind, T.VariantType):
         return F.coalesce(F.schema_of_variant(x).rlike(pattern), F.lit(False))
+    if isinstance(kind, TimeOfDay) and name != "IS_TIME":
+        return F.lit(False)
     return x.isNotNull() if isinstance(kind, types) and not isinstance(kind, T.NullType) else F.lit(False)
 
 
+def _time_of(x: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.pmod(F.unix_micros(x.cast("timestamp")), F.lit(_DAY))
+    if isinstance(kind, T.StringType):
+        return F.when(x.rlike("^[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?$"), F.unix_micros(F.try_to_timestamp(F.concat(F.lit("1970-01-01T"), x, F.lit("Z")))))
+    return x if isinstance(kind, TimeOfDay) else F.lit(None).cast("bigint")
+
+
+def _time_text(x: Column) -> Column:
+    """hh:mm:ss, and the fraction without its last zeros."""
+    parts = [F.lpad(F.floor(x / us % n).cast("string"), 2, "0") for us, n in ((3_600_000_000, 24), (60_000_000, 60), (1_000_000, 60))]
+    fraction = F.rtrim(F.lpad((x % 1_000_000).cast("string"), 6, "0"), F.lit("0"))
+    return F.when(x.isNotNull(), F.concat(F.concat_ws(":", *parts), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise("")))
+
+
+def _interval_of(x: Column) -> Column:
+    """ISO 8601 durations of days, hours, minutes and seconds."""
+    pattern = "^P(?:([0-9]+)D)?(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:[.][0-9]+)?)S)?)?$"
+    part = lambda i, to: F.coalesce(F.nullif(F.regexp_extract(x, pattern, i), F.lit("")).cast(to), F.lit(0).cast(to))
+    return F.when(x.rlike(pattern) & x.rlike("[0-9][DHMS]$"), F.make_dt_interval(part(1, "int"), part(2, "int"), part(3, "int"), part(4, "decimal(18,6)")))
+
+
 def cast(x: Column, kind: T.DataType, to: T.DataType, compat: bool = False) -> Column:
     """CAST: floats to integers go down, what can't be read is null, numeric text is a boolean too."""
     if isinstance(kind, T.VariantType):
         return F.try_variant_get(x, "$", to.simpleString())
+    if isinstance(to, TimeOfDay):
+        return _time_of(x, kind)
+    if isinstance(kind, TimeOfDay):
+        if isinstance(to, T.StringType):
+            return F.coalesce(_time_text(x), F.lit("NULL")) if compat else _time_text(x)
+        return F.timestamp_micros(x) if isinstance(to, T.TimestampType) else F.lit(None).cast(to)
+    if isinstance(to, T.ArrayType) and isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda e: cast(e, kind.elementType, to.elementType, compat))
     if isinstance(to, T.LongType) and isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
         return F.floor(x).cast("bigint")
     if isinstance(to, T.BooleanType) and isinstance(kind, T.StringType):
@@ -171,6 +210,8 @@ def cast(x: Column, kind: T.DataType, to: T.DataType, compat: bool = False) -> C
     if isinstance(to, T.StringType) and compat:
         text = F.initcap(x.cast("string")) if isinstance(kind, T.BooleanType) else x.cast("string")
         return F.coalesce(text, F.lit("NULL"))
+    if isinstance(to, T.DayTimeIntervalType) and isinstance(kind, T.StringType):
+        return _interval_of(x)
     if isinstance(to, T.DayTimeIntervalType) and isinstance(kind, NUMBERS):
         return F.make_dt_interval(secs=x.cast("decimal(18,6)"))
     return x.try_cast(to)

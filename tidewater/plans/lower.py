@@ -33,10 +33,18 @@ _ids = itertools.count()
 
 
 def spark_type(name: str) -> T.DataType:
-    """The Spark type of a declared one; TIME is kept as microseconds of the day, which every sink can store."""
+    """The Spark type of a declared one."""
     return T.ArrayType(spark_type(name[:-2])) if name.endswith("[]") else TYPES[name]
 
 
+def declared(name: str, kind: str) -> T.StructField:
+    return T.StructField(name, spark_type(kind), metadata=scalar.TIME_COLUMN if kind == "TIME" else None)
+
+
+def type_of(f: T.StructField) -> T.DataType:
+    return scalar.TimeOfDay() if f.metadata.get("kind") == "TIME" else f.dataType
+
+
 @dataclass
 class Field:
     owner: str | None
@@ -148,7 +156,7 @@ class Lowering:
 
     def expr(self, e: Expr, r: Relation, swap: dict[str, str] | None = None, types: bool = True) -> tuple[Column, T.DataType]:
         """(column, type) of ``e``; ``swap`` maps aggregates, by their printed form, to columns."""
-        kind = lambda c: r.df.select(c.alias("x")).schema[0].dataType if types else T.NullType()
+        kind = lambda c: type_of(r.df.select(c.alias("x")).schema[0]) if types else T.NullType()
         go = lambda x: self.expr(x, r, swap, types)
         if swap and e.op == "aggregate":
             c = F.col(swap[printed(e)])
@@ -172,7 +180,7 @@ class Lowering:
             return F.lit(t if t.tzinfo else t.replace(tzinfo=datetime.UTC)), T.TimestampType()
         if e.op == "time":
             t = datetime.time.fromisoformat(e.value)
-            return F.lit(((t.hour * 60 + t.minute) * 60 + t.second) * 1_000_000 + t.microsecond).cast("bigint"), T.LongType()
+            return F.lit(((t.hour * 60 + t.minute) * 60 + t.second) * 1_000_000 + t.microsecond).cast("bigint"), scalar.TimeOfDay()
         if e.op == "array":
             c = F.array(*[go(a)[0] for a in e.args])
             return c, kind(c)
@@ -183,7 +191,7 @@ class Lowering:
             return scalar.between(x, lo, hi, e.value["symmetric"]), T.BooleanType()
         if e.op == "cast":
             x, t = go(e.args[0])
-            to = spark_type(e.value)
+            to = scalar.TimeOfDay() if e.value == "TIME" else spark_type(e.value)
             return scalar.cast(x, t, to, self.compat), to
         if e.op in ("index", "slice"):
             x, _ = go(e.args[0])
@@ -240,13 +248,15 @@ class Lowering:
         if e.value in scalar.TESTS:
             return scalar.type_test(e.value, *args[0]), T.BooleanType()
         if e.value == "TO_STR":
-            x = args[0][0].cast("string")
+            x = scalar.cast(*args[0], T.StringType(), self.compat)
             return F.coalesce(x, F.lit("NULL")) if self.compat else x, T.StringType()
         if e.value in scalar.MATH and isinstance(args[0][1], (T.StringType, T.BooleanType, T.ArrayType)):
             raise BindError(f"{e.value} takes a number")
         if e.value in scalar.ARRAY and not isinstance(args[0][1], (T.ArrayType, T.NullType)):
             raise BindError(f"{e.value} takes an array")
         c = scalar.FUNCTIONS[e.value][1](*[a for a, _ in args])
+        if e.value == "ARRAY_MIN" and self.compat:  # null is the least value
+            c = F.get(F.sort_array(args[0][0]), F.lit(0))
         return c, kind(c)
 
     # SELECT
@@ -292,7 +302,8 @@ class Lowering:
                     names.append(f"{f.owner}.{f.name}" if clash and f.owner else f.name)
                     at = names[-1] if f.own == r.ts else at
             else:
-                cols.append(self.expr(i.expr, r, swap)[0])
+                c, kind = self.expr(i.expr, r, swap)
+                cols.append(c.alias("t", metadata=scalar.TIME_COLUMN) if isinstance(kind, scalar.TimeOfDay) else c)
                 names.append(i.name)
                 if i.expr.op == "column" and r.find(*i.expr.value).own == r.ts:
                     at = i.name

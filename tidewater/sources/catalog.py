@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import enum
+import json
 import threading
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from tidewater.errors import RunError
+from tidewater.sources.connectors import Connector
 
 
 class Status(enum.Enum):
@@ -109,3 +112,52 @@ class Catalog:
     def users(self, name: str) -> list[str]:
         """Queries not terminated that read or write ``name``."""
         return [q.name for q in self.queries.values() if q.status is not Status.TERMINATED and (name in q.sources or name == q.sink)]
+
+
+class Store:
+    """A catalog as numbered JSON files in a folder; the last one counts. Frames and push queries end with their engine."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.at = jvm.org.apache.hadoop.fs.Path
+        self.path, self.copy, self.conf = path, jvm.org.apache.commons.io.IOUtils, spark._jsc.hadoopConfiguration()
+        self.fs = self.at(path).getFileSystem(self.conf)
+
+    def _versions(self) -> list[str]:
+        if not self.fs.exists(self.at(self.path)):
+            return []
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.at(self.path)) if f.getPath().getName().endswith(".json"))
+
+    def save(self, c: Catalog) -> None:
+        old = self._versions()
+        number = int(old[-1][:-5]) + 1 if old else 0
+        shown = lambda x, names: {n: getattr(x, n) for n in names}
+        schema = lambda x: x.schema.json() if x.schema else None
+        data = {
+            "streams": {k: shown(x, ("name", "path", "format", "event_time", "owned", "options")) | {"schema": schema(x)} for k, x in c.streams.items() if x.frame is None and not k.startswith(f"{c.namespace}_push_")},
+            "views": {k: shown(x, ("name", "path", "keys", "query", "complete")) | {"schema": schema(x)} for k, x in c.views.items()},
+            "queries": {k: shown(x, ("name", "sql", "kind", "sources", "sink")) | {"status": x.status.value} for k, x in c.queries.items() if x.kind != "push"},
+            "connectors": {k: shown(x, ("name", "side", "kind", "stream", "format", "options", "status")) for k, x in c.connectors.items()},
+        }
+        tmp = f"{self.path}/{number:09d}.tmp"
+        out = self.fs.create(self.at(tmp), True)
+        self.copy.write(json.dumps(data), out, "UTF-8")
+        out.close()
+        self.fs.rename(self.at(tmp), self.at(f"{self.path}/{number:09d}.json"))
+        for f in old:
+            self.fs.delete(self.at(f"{self.path}/{f}"), False)
+
+    def load(self, c: Catalog) -> None:
+        found = self._versions()
+        if not found:
+            return
+        stream = self.fs.open(self.at(f"{self.path}/{found[-1]}"))
+        data = json.loads(self.copy.toString(stream, "UTF-8"))
+        stream.close()
+        schema = lambda x: T.StructType.fromJson(json.loads(x["schema"])) if x["schema"] else None
+        c.streams = {k: Stream(**x | {"schema": schema(x)}) for k, x in data["streams"].items()}
+        c.views = {k: View(**x | {"schema": schema(x)}) for k, x in data["views"].items()}
+        c.connectors = {k: Connector(**x) for k, x in data["connectors"].items()}
+        for k, x in data["queries"].items():
+            status = Status(x.pop("status"))
+            c.queries[k] = Query(**x, wanted=status if status in (Status.PAUSED, Status.TERMINATED) else Status.RESUMING)

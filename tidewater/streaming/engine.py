@@ -22,30 +22,56 @@ from pyspark.sql import types as T
 
 from tidewater.errors import BindError, PlanError, RunError
 from tidewater.plans import validate
-from tidewater.plans.lower import Lowering, spark_type
+from tidewater.plans.lower import Lowering, declared
 from tidewater.plans.parser import Expr, Item, Select, Source, Statement, parse
-from tidewater.sources.catalog import Catalog, Query, Status, Stream, View
-from tidewater.sources.connectors import connector, read, write
+from tidewater.sources.catalog import Catalog, Query, Status, Store, Stream, View
+from tidewater.sources.connectors import Connector, connector, read, write
 
 #: A view's log of changes is compacted after so many batches.
 COMPACT = 20
 
 
 class Engine:
-    """``root`` is a folder in shared storage; ``trigger`` is that of writeStream."""
+    """``root`` is a folder in shared storage; ``trigger`` is that of writeStream.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, compat: bool = False, trigger: dict | None = None, lateness: str = "24 hours", namespace: str = ""):
+    An engine with a ``name`` keeps its catalog there: one that is opened later under
+    the same root and name has its streams, views, queries and connectors, and
+    ``recover`` starts the queries that were running from their checkpoints.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, compat: bool = False, trigger: dict | None = None, lateness: str = "24 hours", namespace: str = "", name: str | None = None):
         self.spark, self.compat, self.lateness = spark, compat, lateness
-        self.root = (root or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-")).rstrip("/") + f"/engine-{uuid.uuid4().hex[:8]}"
+        self.root = (root or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-")).rstrip("/") + f"/engine-{name or uuid.uuid4().hex[:8]}"
         self.trigger = trigger or {"availableNow": True}
         self.catalog = Catalog(namespace)
+        self.store = Store(spark, f"{self.root}/catalog") if name else None
+        if self.store:
+            self.store.load(self.catalog)
+            for c in self.catalog.connectors.values():
+                self._attach(c)
+            for q in self.catalog.queries.values():
+                self._prepare(q)
+
+    def _save(self) -> None:
+        if self.store:
+            self.store.save(self.catalog)
+
+    def recover(self) -> list[Query]:
+        """Starts the queries of an earlier engine that had neither been paused nor terminated."""
+        found = [q for q in self.catalog.queries.values() if q.wanted is Status.RESUMING]
+        for q in found:
+            q.start()
+        self._save()
+        return found
 
     # streams
 
     def register(self, name: str, path: str, event_time: str | None = None, format: str = "parquet") -> Stream:
         """A folder or file that exists, as a stream."""
         schema = self.spark.read.format(format).load(path).schema
-        return self.catalog.add("STREAM", name, Stream(name, path, format, schema, event_time, owned=False))
+        out = self.catalog.add("STREAM", name, Stream(name, path, format, schema, event_time, owned=False))
+        self._save()
+        return out
 
     def register_frame(self, name: str, df: DataFrame, event_time: str | None = None) -> Stream:
         """Any frame as a stream, for batch statements."""
@@ -146,6 +172,7 @@ class Engine:
         kept = f"{s.path}-{uuid.uuid4().hex[:8]}"
         self._open(name)[0].where(F.col(s.event_time) >= F.lit(before)).write.parquet(kept)
         old, s.path = s.path, kept
+        self._save()
         self._delete(old)
 
     # statements
@@ -153,10 +180,16 @@ class Engine:
     def execute(self, sql: str) -> Any:
         """A DataFrame for SELECT, SHOW and EXPLAIN, a Query for continuous ones, else None."""
         s = parse(sql)
-        if isinstance(s, Select):
-            return self._push(s, sql) if s.emit else Lowering(self._open, self.compat).select(s)
-        validate.statement(s)
-        return getattr(self, f"_{s.kind}")(s, sql)
+        if isinstance(s, Select) and not s.emit:
+            return Lowering(self._open, self.compat).select(s)
+        try:
+            if isinstance(s, Select):
+                return self._push(s, sql)
+            validate.statement(s)
+            return getattr(self, f"_{s.kind}")(s, sql)
+        finally:
+            if isinstance(s, Select) or s.kind not in ("show", "explain", "insert", "insert_raw"):
+                self._save()
 
     def sql(self, sql: str) -> DataFrame:
         out = self.execute(sql)
@@ -176,7 +209,7 @@ class Engine:
             return self._derive(s, sql, path)
         schema = None
         if s.columns:
-            fields = [T.StructField(c, spark_type(t)) for c, t in s.columns]
+            fields = [declared(c, t) for c, t in s.columns]
             schema = T.StructType([*fields, T.StructField("_ts", T.TimestampType())])
         self._mkdirs(path)
         self.catalog.add("STREAM", s.name, Stream(s.name, path, schema=schema, options=s.options))
@@ -332,6 +365,18 @@ class Engine:
         name = name or f"q_{uuid.uuid4().hex[:8]}"
         query = Query(name, sql, kind, sources(q.source), sink)
         self.catalog.add("QUERY", name, query)
+        self._ready(query, q, put)
+        query.start()
+        return query
+
+    def _prepare(self, query: Query) -> None:
+        """What a query of an earlier engine does when it starts."""
+        s = parse(query.sql)
+        put = self._to_view(self.catalog.get("VIEW", query.sink)) if query.kind == "view" else self._to_stream(query.sink)
+        self._ready(query, s if isinstance(s, Select) else s.select, put)
+
+    def _ready(self, query: Query, q: Select, put) -> None:
+        name = query.name
         work = f"{self.root}/checkpoints/{name}"
 
         def run() -> None:
@@ -347,8 +392,6 @@ class Engine:
             query.wanted = Status.RUNNING
 
         query.start = run
-        run()
-        return query
 
     def _joined_first(self, q: Select, query: Query, work: str) -> Select:
         """Starts the join as a query of its own and gives the SELECT over its rows."""
@@ -448,9 +491,11 @@ class Engine:
         stream = s.options.get("stream", s.name)
         c = self.catalog.add("CONNECTOR", s.name, connector(s.name, s.what, s.target, str(stream), s.options))
         c.status = "RUNNING"
-        if s.what == "SOURCE" and c.format in ("rate", "jdbc"):
-            df = read(self.spark, c)
-            self.register_frame(c.stream, df, "timestamp" if c.format == "rate" else None)
+        self._attach(c)
+
+    def _attach(self, c: Connector) -> None:
+        if c.side == "SOURCE" and c.format in ("rate", "jdbc"):
+            self.register_frame(c.stream, read(self.spark, c), "timestamp" if c.format == "rate" else None)
 
     def drain(self, name: str) -> None:
         """Write what a sink connector's stream holds to its store."""
