@@ -42,6 +42,19 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(df: DataFrame) -> Column:
+    """A number for each row of ``df``, a table: the same at each of its scans.
+
+    It follows from the splits of the files. How they are cut depends on the cores
+    registered at the time of the scan, which change as executors come and go,
+    unless the session says for how many: from the first use on it does.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return F.monotonically_increasing_id()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files whose frames are gone."""
     import gc

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE_RUN, scratch, unused, written
+from tidewater.llm.common import SPACE_RUN, place, scratch, unused, written
 
 
 def normalised(text: Column) -> Column:
@@ -79,12 +79,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact deduplication keeps, with its columns.
 
-    ``docs`` is read twice and must come from files (row order within a split is then fixed).
+    ``docs`` is read twice and must come from files.
     """
     seq, sha = unused(docs, "seq"), unused(docs, "sha")
-    best = docs.select(F.unhex(F.sha2(normalised(F.col("text")), 256)).alias(sha), F.col("doc_id"), F.monotonically_increasing_id().alias(seq))
+    best = docs.select(F.unhex(F.sha2(normalised(F.col("text")), 256)).alias(sha), F.col("doc_id"), place(docs).alias(seq))
     drop = written(_dropped(best, sha, seq), "dropped")
-    return docs.withColumn(seq, F.monotonically_increasing_id()).join(drop, seq, "left_anti").select(docs.columns)
+    return docs.withColumn(seq, place(docs)).join(drop, seq, "left_anti").select(docs.columns)
 
 
 def _dropped(rows: DataFrame, sha: str, seq: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import unused, written
+from tidewater.llm.common import place, unused, written
 from tidewater.llm.quality import words_of
 
 WEIGHTS, SHARE, MAX_PASSES, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20240
@@ -153,7 +153,7 @@ def mixture(docs: DataFrame, size: str, source: str, doc: str, seed: int = SEED)
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, tw_seq) as a table."""
-    return written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.monotonically_increasing_id().alias("tw_seq")), "sized")
+    return written(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), place(docs).alias("tw_seq")), "sized")
 
 
 def mixing(docs: DataFrame) -> DataFrame:
@@ -169,5 +169,5 @@ def stage(docs: DataFrame) -> DataFrame:
     seq, n = unused(docs, "tw_seq"), unused(docs, "tw_passes")
     plan = mixture(sized(docs), "size", "source", "doc_id").where("passes > 0").select(F.col("tw_seq").alias(seq), F.col("passes").alias(n))
     plan = written(plan, "mix")
-    out = docs.withColumn(seq, F.monotonically_increasing_id()).join(plan, seq)
+    out = docs.withColumn(seq, place(docs)).join(plan, seq)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)

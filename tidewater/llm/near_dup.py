@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import components, release, text_key, unused, written
+from tidewater.llm.common import components, place, release, text_key, unused, written
 from tidewater.llm.rolling import mix, shingles
 
 WORDS, SIMILAR = 5, 0.8
@@ -106,7 +106,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 cols += [pa.array([len(found[x]) for x in keep], pa.int32()), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "row", "n", "bands", "minima"])
 
-    own = docs.select(*text_key(F.col("text")), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select(*text_key(F.col("text")), place(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     made = own.mapInArrow(make, "k1 long, k2 long, row long, n int, bands array<long>, minima binary")
     one = made.groupBy("k1", "k2").agg(F.min_by(F.struct("row", "n", "bands", "minima"), "row").alias("x")).select("k1", "k2", "x.*")
     return written(one.withColumn("node", F.monotonically_increasing_id()), "sketches")
@@ -140,7 +140,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links (a, b, similarity) among ``pairs``; every star is cut into groups of about STAR members, each with the hub's text."""
     pairs = written(pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("cuts")), "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("cut")), "pairs")
     needed = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text")
+    texts = docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text")
     texts = written(texts, "texts")
     release(docs.sparkSession)
     others = pairs.join(texts, "node").select("hub", "cut", "node", "text")
@@ -173,7 +173,7 @@ def classes(docs: DataFrame) -> DataFrame:
     links = verified(docs, nodes, candidates(nodes))
     release(docs.sparkSession)
     roots = components(links)
-    own = written(docs.select(*text_key(F.col("text")), "doc_id", F.monotonically_increasing_id().alias("row")), "rows")
+    own = written(docs.select(*text_key(F.col("text")), "doc_id", place(docs).alias("row")), "rows")
     named = written(nodes.join(roots, "node").select("k1", "k2", F.col("root").alias("root")), "named")
     # a text without links is a class by its own key
     own = own.join(named, ["k1", "k2"], "left").withColumn("class", F.when(F.col("root").isNotNull(), F.struct(F.col("root").alias("k1"), F.lit(None).cast("long").alias("k2"))).otherwise(F.struct("k1", "k2")))
@@ -193,4 +193,4 @@ def stage(docs: DataFrame) -> DataFrame:
     """One row of each class, with the columns of ``docs`` (a table)."""
     row = unused(docs, "row")
     drop = written(classes(docs).where("not kept").select(F.col("row").alias(row)), "dropped")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(drop, row, "left_anti").select(docs.columns)
+    return docs.withColumn(row, place(docs)).join(drop, row, "left_anti").select(docs.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import release, written
+from tidewater.llm.common import place, release, written
 from tidewater.llm.rolling import Prefix
 
 LENGTH, GRAM = 200, 48
@@ -302,7 +302,7 @@ def merged(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), place(docs).alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
