@@ -251,3 +251,29 @@ def test_named_engine_recovers(spark, tmp_path):
     assert [r.status for r in later.sql("SHOW CONNECTORS;").collect()] == ["RUNNING"]
     later.execute("DROP CONNECTOR c;")
     assert opened().sql("SHOW CONNECTORS;").count() == 0 and opened().sql("SHOW STREAMS;").count() == 2
+
+
+def test_connectors_copy(engine, spark, tmp_path):
+    engine.execute("CREATE STREAM s (a INTEGER);")
+    drop = lambda n, x: spark.createDataFrame([(x,)], "a long").coalesce(1).write.json(str(tmp_path / f"in/{n}"))
+    drop("one", 1)
+    engine.execute(f"CREATE SOURCE CONNECTOR c FROM file WITH (stream = 's', path = '{tmp_path}/in', recursiveFileLookup = 'true');")
+    engine.drain("c")
+    engine.execute(f"CREATE SINK CONNECTOR out TO file WITH (stream = 's', path = '{tmp_path}/out');")
+    engine.drain("out")
+    engine.execute("PAUSE CONNECTOR c;")
+    drop("two", 2)
+    assert rows(engine.sql("SELECT a FROM s;")) == [(1,)]
+    engine.execute("RESUME CONNECTOR c;")
+    engine.drain("c")
+    engine.drain("out")
+    engine.drain("out")  # nothing twice
+    assert sorted(r.a for r in spark.read.json(str(tmp_path / "out")).collect()) == [1, 2]
+    engine.alter_connector("out", path=f"{tmp_path}/other")
+    engine.execute("INSERT INTO s (a) VALUES (3);")
+    engine.drain("out")
+    assert [r.a for r in spark.read.json(str(tmp_path / "other")).collect()] == [3]
+    engine.execute("CREATE SINK CONNECTOR lost TO elasticsearch WITH (stream = 's');")
+    with pytest.raises(Exception):  # noqa: B017  the package isn't there
+        engine.drain("lost")
+    engine.execute("DROP CONNECTOR lost;")

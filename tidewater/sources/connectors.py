@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.errors import BindError
 
@@ -24,11 +26,17 @@ class Connector:
     format: str
     options: dict[str, str]
     status: str = "CREATED"
+    handles: list[Any] = field(default_factory=list)
 
     @property
     def streams(self) -> bool:
         return self.format in ("rate", "kafka", "json", "parquet", "csv")
 
+    @property
+    def copies(self) -> bool:
+        """Does it copy rows from or to its stream? The other sources are read in place."""
+        return self.side == "SINK" or self.format not in ("rate", "jdbc")
+
 
 def connector(name: str, side: str, kind: str, stream: str, options: dict) -> Connector:
     """Checks the kind and translates its options."""
@@ -65,6 +73,16 @@ def read(spark: SparkSession, c: Connector, schema=None) -> DataFrame:
     return reader.format(c.format).options(**c.options).load()
 
 
+def records(df: DataFrame, c: Connector, schema) -> DataFrame:
+    """The rows of a source: those of Kafka are JSON objects in the message's value."""
+    if c.format != "kafka":
+        return df
+    row = F.from_json(F.col("value").cast("string"), schema)
+    return df.select(row.alias("row_"), F.col("timestamp").alias("_ts")).where("row_ is not null").select("row_.*", "_ts")
+
+
 def write(df: DataFrame, c: Connector) -> None:
     """One batch; a retried batch may be written twice where the store has no keys."""
+    if c.format == "kafka":
+        df = df.select(F.to_json(F.struct("*")).alias("value"))
     df.write.format(c.format).options(**c.options).mode("append").save()

@@ -16,6 +16,7 @@ import tempfile
 import uuid
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from tidewater.plans import validate
 from tidewater.plans.lower import Lowering, declared
 from tidewater.plans.parser import Expr, Item, Select, Source, Statement, parse
 from tidewater.sources.catalog import Catalog, Query, Status, Store, Stream, View
-from tidewater.sources.connectors import Connector, connector, read, write
+from tidewater.sources.connectors import Connector, connector, read, records, write
 
 #: A view's log of changes is compacted after so many batches.
 COMPACT = 20
@@ -36,7 +37,7 @@ class Engine:
 
     An engine with a ``name`` keeps its catalog there: one that is opened later under
     the same root and name has its streams, views, queries and connectors, and
-    ``recover`` starts the queries that were running from their checkpoints.
+    ``recover`` starts what was running, from checkpoints.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, compat: bool = False, trigger: dict | None = None, lateness: str = "24 hours", namespace: str = "", name: str | None = None):
@@ -47,8 +48,6 @@ class Engine:
         self.store = Store(spark, f"{self.root}/catalog") if name else None
         if self.store:
             self.store.load(self.catalog)
-            for c in self.catalog.connectors.values():
-                self._attach(c)
             for q in self.catalog.queries.values():
                 self._prepare(q)
 
@@ -57,10 +56,13 @@ class Engine:
             self.store.save(self.catalog)
 
     def recover(self) -> list[Query]:
-        """Starts the queries of an earlier engine that had neither been paused nor terminated."""
+        """Starts the connectors and queries of an earlier engine that had neither been paused nor terminated."""
         found = [q for q in self.catalog.queries.values() if q.wanted is Status.RESUMING]
         for q in found:
             q.start()
+        for c in self.catalog.connectors.values():
+            if c.status != "PAUSED":
+                self._attach(c)
         self._save()
         return found
 
@@ -433,8 +435,7 @@ class Engine:
 
     def _pause(self, s: Statement, sql: str) -> None:
         if s.what == "CONNECTOR":
-            self.catalog.get("CONNECTOR", s.name).status = "PAUSED"
-            return
+            return self._halt(self.catalog.get("CONNECTOR", s.name), "PAUSED")
         q = self.catalog.get("QUERY", s.name)
         if q.status not in (Status.RUNNING, Status.ABORTED):
             raise RunError(f"{s.name} isn't running")
@@ -445,8 +446,7 @@ class Engine:
     def _resume(self, s: Statement, sql: str) -> None:
         """Starts again from the checkpoint, with the state it holds."""
         if s.what == "CONNECTOR":
-            self.catalog.get("CONNECTOR", s.name).status = "RUNNING"
-            return
+            return self._attach(self.catalog.get("CONNECTOR", s.name))
         q = self.catalog.get("QUERY", s.name)
         if q.status not in (Status.PAUSED, Status.ABORTED):
             raise RunError(f"{s.name} isn't paused")
@@ -471,6 +471,8 @@ class Engine:
         if s.what == "VIEW":
             if self.catalog.queries[x.query].status is not Status.TERMINATED if x.query in self.catalog.queries else False:
                 raise RunError(f"the query of {s.name} must be terminated first")
+        if s.what == "CONNECTOR":
+            self._halt(x, "DELETED")
         self.catalog.drop(s.what, s.name)
         if s.what in ("STREAM", "VIEW") and getattr(x, "owned", True) and x.path:
             self._delete(x.path)
@@ -483,26 +485,65 @@ class Engine:
             return self.spark.createDataFrame([(x.name, x.query, x.schema.simpleString()) for x in c.views.values()], "name string, query string, schema string")
         if s.what == "QUERIES":
             return self.spark.createDataFrame([(x.name, x.kind, x.status.value, x.sql) for x in c.queries.values()], "name string, kind string, status string, sql string")
-        return self.spark.createDataFrame([(x.name, x.side, x.kind, x.stream, x.status) for x in c.connectors.values()], "name string, side string, kind string, stream string, status string")
+        state = lambda x: "ABORTED" if any(h.exception() is not None for h in x.handles) else x.status
+        return self.spark.createDataFrame([(x.name, x.side, x.kind, x.stream, state(x)) for x in c.connectors.values()], "name string, side string, kind string, stream string, status string")
 
     def _create_connector(self, s: Statement, sql: str) -> None:
         if s.flag and self.catalog.has("CONNECTOR", s.name):
             return
         stream = s.options.get("stream", s.name)
         c = self.catalog.add("CONNECTOR", s.name, connector(s.name, s.what, s.target, str(stream), s.options))
-        c.status = "RUNNING"
         self._attach(c)
 
     def _attach(self, c: Connector) -> None:
-        if c.side == "SOURCE" and c.format in ("rate", "jdbc"):
+        """Starts a connector: a source that is read in place becomes a frame, others copy from their checkpoint on."""
+        c.status = "RUNNING"
+        if c.copies:
+            try:
+                self._copy(c)
+            except (AnalysisException, RunError):  # no such stream yet, or the store's package is absent: drain tells
+                c.status = "ABORTED"
+        elif not self.catalog.has("STREAM", c.stream):
             self.register_frame(c.stream, read(self.spark, c), "timestamp" if c.format == "rate" else None)
 
+    def _halt(self, c: Connector, status: str) -> None:
+        for h in c.handles:
+            h.stop()
+        c.handles, c.status = [], status
+
+    def _copy(self, c: Connector) -> None:
+        stream = self.catalog.get("STREAM", c.stream)
+        if c.side == "SINK":
+            df, put = self._open_stream(c.stream)[0].drop("_ts"), lambda b, i: write(b, c)
+        else:
+            if not stream.owned or stream.schema is None:
+                raise RunError(f"{c.stream} has no declared columns")
+            body = T.StructType([f for f in stream.schema if f.name != "_ts"])
+            copy = self._to_stream(c.stream)
+            df, put = records(read(self.spark, c, body), c, body), lambda b, i: copy(b, i, f"connector_{c.name}")
+        writer = df.writeStream.foreachBatch(put).option("checkpointLocation", f"{self.root}/checkpoints/connector_{c.name}")
+        c.handles = [writer.trigger(**self.trigger).start()]
+
     def drain(self, name: str) -> None:
-        """Write what a sink connector's stream holds to its store."""
+        """Waits until a connector has copied all there is; an error of its store is raised."""
         c = self.catalog.get("CONNECTOR", name)
-        if c.status != "RUNNING":
+        if c.status not in ("RUNNING", "ABORTED"):
             raise RunError(f"{name} is {c.status}")
-        write(self._open(c.stream)[0].drop("_ts"), c)
+        for h in c.handles:
+            h.awaitTermination() if self.trigger.get("availableNow") or self.trigger.get("once") else h.processAllAvailable()
+        if not any(h.isActive for h in c.handles):
+            self._copy(c)
+            c.status = "RUNNING"
+            c.handles[0].processAllAvailable() if c.handles[0].isActive else c.handles[0].awaitTermination()
+
+    def alter_connector(self, name: str, **options: str) -> None:
+        """New options for a connector, which goes on from where it stopped."""
+        c = self.catalog.get("CONNECTOR", name)
+        self._halt(c, c.status)
+        c.options |= {k: str(v) for k, v in options.items()}
+        if c.status != "PAUSED":
+            self._attach(c)
+        self._save()
 
     def metrics(self) -> DataFrame:
         """Rows, batches and errors of each query."""
