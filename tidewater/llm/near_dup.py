@@ -5,8 +5,8 @@ each of ``BANDS`` hash functions the sketch takes the ``TAKEN`` shingles with
 the least hashes and retains their order in the text; two texts share a band
 only if they share those shingles in that order, so the sketch follows edit
 similarity, not the bag. Texts that share a band are candidates, each paired
-with the least one of the band; those whose minima show that they differ from it
-are paired again among themselves. Candidates are verified by alignment: of the
+with one of the band; where some aren't linked to it, they and the others are
+paired again (``links``). Candidates are verified by alignment: of the
 shingles that both have, the longest chain in the order of both, within the band
 of diagonals that similarity ``SIMILAR`` leaves, gives
 
@@ -14,9 +14,7 @@ of diagonals that similarity ``SIMILAR`` leaves, gives
 
 Links of at least ``SIMILAR`` are joined into classes by connected components.
 Exact copies are one node throughout and are never paired. A pair at exactly
-0.8 is missed by all bands with probability below 1e-6; near the limit a pair
-can also go unpaired where both were only seen beside a third text that is
-linked to neither.
+0.8 is missed by all bands with probability below 1e-6.
 
 Defined cases: a null text is empty; texts without words are in one class only
 if they are equal; texts under five words are one shingle; rows with equal texts
@@ -27,10 +25,12 @@ last; an empty table gives an empty result; further columns are left alone.
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import components, place, release, text_key, unused, written
@@ -42,8 +42,6 @@ BANDS, TAKEN = 32, 4
 SHORT, SHORT_BANDS = 24, 16
 #: Of the BANDS minima so many must agree for a pair to be verified (0.8 gives fewer once in a million).
 AGREE = 14
-#: How often texts that differ from their band's least one are paired anew.
-PEELS = 3
 #: Members of a star that are verified together.
 STAR = 256
 
@@ -112,37 +110,59 @@ def sketched(docs: DataFrame) -> DataFrame:
     return written(one.withColumn("node", F.monotonically_increasing_id()), "sketches")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(hub, node): pairs of nodes that share a band and whose minima and lengths don't rule them out."""
-    members = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+def _agree(a: str, b: str) -> Column:
+    """How many of two texts' minima are equal."""
+    return sum((F.substring(a, 2 * k + 1, 2) == F.substring(b, 2 * k + 1, 2)).cast("int") for k in range(BANDS))
+
+
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links (a, b, similarity), a < b.
+
+    Each round pairs, in every bucket, one node with all others; the pairs that minima
+    and lengths don't rule out are verified. Where all are linked to it, the bucket is
+    done. Else its others meet again, linked ones too, in buckets narrowed by one
+    more band, and one that was linked to none is paired with them. The rounds
+    end when no bucket has such a node beside another.
+    """
+    members = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"), F.lit(True).alias("alone"))
     own = nodes.select("node", "n", "minima")
     hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("minima").alias("hub_minima"))
-    agree = lambda a, b: sum((F.substring(a, 2 * k + 1, 2) == F.substring(b, 2 * k + 1, 2)).cast("int") for k in range(BANDS))
-    out = None
-    for peel in range(PEELS):
-        stars = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", "hub")
-        rows = written(members.join(written(stars, "stars"), "bucket").where("node <> hub"), "members")
-        tested = rows.select("hub", "node").distinct().join(own, "node").join(hubs, "hub")
-        passes = (F.least("n", "hub_n") >= SIMILAR * F.greatest("n", "hub_n")) & (agree("minima", "hub_minima") >= AGREE)
-        good = written(tested.where(passes).select("hub", "node"), "candidates")
-        out = good if out is None else out.unionByName(good)
-        if peel + 1 < PEELS:
-            # those ruled out meet again where another of their bands agrees too
-            again = rows.join(good, ["hub", "node"], "left_anti").select("bucket", "node")
-            other = F.get("bands", (F.pmod(F.col("bucket"), F.lit(BANDS)) + peel) % BANDS)
-            members = written(again.join(nodes.select("node", "bands"), "node").select("node", F.xxhash64("bucket", other).alias("bucket")), "again")
-            if members.isEmpty():
-                break
-    return out.distinct()
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (a, b, similarity) among ``pairs``; every star is cut into groups of about STAR members, each with the hub's text."""
-    pairs = written(pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("cuts")), "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("cut")), "pairs")
-    needed = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
-    texts = docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text")
-    texts = written(texts, "texts")
-    release(docs.sparkSession)
+    passes = (F.least("n", "hub_n") >= SIMILAR * F.greatest("n", "hub_n")) & (_agree("minima", "hub_minima") >= AGREE)
+    lo, hi = F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+    found, tested, texts = [], [], None
+    for extra in count(1):
+        stars = members.groupBy("bucket").agg(F.min(F.when(F.col("alone"), F.col("node"))).alias("hub"), F.count("*").alias("c")).where("c > 1 and hub is not null")
+        rows = written(members.join(written(stars, "stars"), "bucket").where("node <> hub").select("bucket", "hub", "node", "c"), "members")
+        if rows.isEmpty():
+            break
+        if texts is None:
+            needed = rows.select("node").unionByName(rows.select(F.col("hub").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
+            texts = written(docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text"), "texts")
+            release(docs.sparkSession)
+        # a bucket's members are verified in groups of about STAR; a node in several follows the largest
+        pairs = rows.groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
+        if tested:
+            pairs = pairs.join(_together(tested), (F.least("hub", "node") == F.col("a")) & (F.greatest("hub", "node") == F.col("b")), "left_anti")
+        good = written(pairs.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
+        tested.append(good.select(lo, hi))
+        found.append(verified(texts, good))
+        release(docs.sparkSession)
+        linked = _together(found).select("a", "b", F.lit(True).alias("linked"))
+        told = rows.join(linked, (F.least("hub", "node") == F.col("a")) & (F.greatest("hub", "node") == F.col("b")), "left").select("bucket", "node", F.col("linked").isNull().alias("alone"))
+        told = written(told, "told")
+        mixed = told.where("alone").select("bucket").distinct()
+        band = F.get("bands", (F.pmod(F.col("bucket"), F.lit(BANDS)) + extra) % BANDS)
+        members = told.join(mixed, "bucket", "left_semi").join(nodes.select("node", "bands"), "node")
+        members = written(members.select("node", F.xxhash64("bucket", band).alias("bucket"), "alone"), "again")
+    return _together(found) if found else nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity"))
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links (a, b, similarity), a < b, among ``pairs`` (hub, node, cut); the nodes of a hub's cut go to one task, with the hub's text."""
     others = pairs.join(texts, "node").select("hub", "cut", "node", "text")
     centres = pairs.select("hub", "cut").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "cut", F.lit(None).cast("long").alias("node"), "text")
     rows = centres.unionByName(others).repartition("hub", "cut").sortWithinPartitions("hub", "cut", "node")
@@ -159,7 +179,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     elif h != hub:
                         raise ValueError("a star without its centre")
                     elif (x := aligned(centre, s)) > 0:
-                        out.append((h, node, x))
+                        out.append((min(h, node), max(h, node), x))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "similarity"])
 
@@ -170,9 +190,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (a table): row, doc_id, class_id, class_size, kept."""
     nodes = sketched(docs)
     release(docs.sparkSession)
-    links = verified(docs, nodes, candidates(nodes))
-    release(docs.sparkSession)
-    roots = components(links)
+    roots = components(links(docs, nodes))
     own = written(docs.select(*text_key(F.col("text")), "doc_id", place(docs).alias("row")), "rows")
     named = written(nodes.join(roots, "node").select("k1", "k2", F.col("root").alias("root")), "named")
     # a text without links is a class by its own key
