@@ -245,6 +245,25 @@ def test_near_dup(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(ids)
 
 
+def test_near_dup_in_mixed_buckets(spark, tmp_path):
+    """Texts share passages with many that they aren't linked to; chains, too, are found whole."""
+    rng = random.Random(11)
+    parts = [sentence(rng, 40) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        texts.append(" ".join([rng.choice(parts), sentence(rng, 30), rng.choice(parts), rng.choice(parts)]))
+    for _ in range(15):
+        words = rng.choice(texts).split(" ")
+        for _ in range(3):  # each a little further from the first
+            at = rng.randrange(len(words) - 4)
+            words[at : at + 3] = sentence(rng, 3).split(" ")
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    found = got(near_dup.near_dup(spark.read.parquet(str(tmp_path / "t"))))
+    assert {r["doc_id"]: r["class_id"] for r in found} == dict(enumerate(brute_classes(texts)))
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.aligned(a, a) == 1
@@ -294,6 +313,7 @@ def test_digest_index_persists(docs, spark, tmp_path):
     n = first.where("kept").count()
     again = exact_dedup.DigestIndex(spark, path, buckets=4)  # a later session
     assert again.read().count() == n
+    assert len(list((tmp_path / "index").glob("*.parquet"))) <= 4  # a file a bucket
     second = got(exact_dedup.exact_dedup(docs, again, "two"))
     known = {r["text_sha256"] for r in got(first)}
     assert all(not r["kept"] for r in second if r["text_sha256"] in known)

@@ -44,6 +44,8 @@ SHORT, SHORT_BANDS = 24, 16
 AGREE = 14
 #: Members of a star that are verified together.
 STAR = 256
+#: Hubs of a bucket from the second round on; buckets of more members are narrowed for the next round.
+HUBS, NARROW = 8, 32
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -118,42 +120,44 @@ def _agree(a: str, b: str) -> Column:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b, similarity), a < b.
 
-    Each round pairs, in every bucket, one node with all others; the pairs that minima
-    and lengths don't rule out are verified. Where all are linked to it, the bucket is
-    done. Else its others meet again, linked ones too, in buckets narrowed by one
-    more band, and one that was linked to none is paired with them. The rounds
-    end when no bucket has such a node beside another.
+    Each round pairs, in every bucket, a few hubs (the first time one) with all
+    others; the pairs that minima and lengths don't rule out are verified. Where all
+    are linked to every hub, the bucket is done. Else its others meet again, linked
+    ones too, with hubs from those that weren't linked to all, and a large bucket is
+    narrowed by one more band. The rounds end when no bucket has such a node beside another.
     """
     members = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"), F.lit(True).alias("alone"))
     own = nodes.select("node", "n", "minima")
     hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("minima").alias("hub_minima"))
     passes = (F.least("n", "hub_n") >= SIMILAR * F.greatest("n", "hub_n")) & (_agree("minima", "hub_minima") >= AGREE)
-    lo, hi = F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+    lo, hi = F.least("hub", "node"), F.greatest("hub", "node")
     found, tested, texts = [], [], None
     for extra in count(1):
-        stars = members.groupBy("bucket").agg(F.min(F.when(F.col("alone"), F.col("node"))).alias("hub"), F.count("*").alias("c")).where("c > 1 and hub is not null")
-        rows = written(members.join(written(stars, "stars"), "bucket").where("node <> hub").select("bucket", "hub", "node", "c"), "members")
+        n_hubs = HUBS if texts is not None else 1
+        least = [F.min(F.when(F.col("alone") & (F.pmod(F.xxhash64("node"), F.lit(n_hubs)) == k), F.col("node"))) for k in range(n_hubs)]
+        stars = members.groupBy("bucket").agg(F.array_compact(F.array(*least)).alias("hubs"), F.count("*").alias("c")).where("c > 1 and size(hubs) > 0")
+        rows = written(members.join(written(stars, "stars"), "bucket").select("bucket", "node", "hubs", "c"), "members")
         if rows.isEmpty():
             break
         if texts is None:
-            needed = rows.select("node").unionByName(rows.select(F.col("hub").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
+            needed = rows.select("node").distinct().join(nodes.select("node", "row"), "node")
             texts = written(docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text"), "texts")
             release(docs.sparkSession)
+        pairs = rows.select("bucket", "node", "c", F.array_contains("hubs", F.col("node")).alias("is_hub"), F.explode("hubs").alias("hub")).where("hub < node or hub > node and not is_hub")
         # a bucket's members are verified in groups of about STAR; a node in several follows the largest
-        pairs = rows.groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
+        fresh = pairs.groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
         if tested:
-            pairs = pairs.join(_together(tested), (F.least("hub", "node") == F.col("a")) & (F.greatest("hub", "node") == F.col("b")), "left_anti")
-        good = written(pairs.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
-        tested.append(good.select(lo, hi))
+            fresh = fresh.join(_together(tested), (lo == F.col("a")) & (hi == F.col("b")), "left_anti")
+        good = written(fresh.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
+        tested.append(good.select(lo.alias("a"), hi.alias("b")))
         found.append(verified(texts, good))
-        release(docs.sparkSession)
         linked = _together(found).select("a", "b", F.lit(True).alias("linked"))
-        told = rows.join(linked, (F.least("hub", "node") == F.col("a")) & (F.greatest("hub", "node") == F.col("b")), "left").select("bucket", "node", F.col("linked").isNull().alias("alone"))
-        told = written(told, "told")
+        told = pairs.where("not is_hub").join(linked, (lo == F.col("a")) & (hi == F.col("b")), "left")
+        told = written(told.groupBy("bucket", "node").agg(F.max(F.col("linked").isNull()).alias("alone"), F.max("c").alias("c")), "told")
         mixed = told.where("alone").select("bucket").distinct()
         band = F.get("bands", (F.pmod(F.col("bucket"), F.lit(BANDS)) + extra) % BANDS)
         members = told.join(mixed, "bucket", "left_semi").join(nodes.select("node", "bands"), "node")
-        members = written(members.select("node", F.xxhash64("bucket", band).alias("bucket"), "alone"), "again")
+        members = written(members.select("node", F.when(F.col("c") > NARROW, F.xxhash64("bucket", band)).otherwise(F.col("bucket")).alias("bucket"), "alone"), "again")
     return _together(found) if found else nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity"))
 
 
