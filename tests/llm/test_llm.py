@@ -132,6 +132,27 @@ def test_repeats(docs, empty, monkeypatch):
     assert repeats_found(docs) == want
 
 
+def test_repeat_groups(docs, monkeypatch):
+    """Each group is one string with all its places, and the groups cover what is repeated."""
+    own = repeats._numbered(docs)
+    texts = {r["row"]: bytes(r["data"]) for r in got(own)}
+    for limit in (repeats.CLASS, 2):  # by trees, and by windows
+        monkeypatch.setattr(repeats, "CLASS", limit)
+        by, covered = defaultdict(set), defaultdict(list)
+        for r in got(repeats.groups(own.select("row", "data"))):
+            by[r["group"]].add((r["row"], r["start"], r["stop"]))
+            covered[r["row"]].append((r["start"], r["stop"]))
+        for places in by.values():
+            strings = {texts[r][a:z] for r, a, z in places}
+            string = next(iter(strings))
+            assert len(strings) == 1 and len(string) >= 200 and len(places) > 1
+            assert len(places) == sum(len(re.findall(b"(?=" + re.escape(string) + b")", t)) for t in texts.values())
+        want = brute_repeats(list(texts.values()))
+        for (row, t), (_, removed, runs, _) in zip(texts.items(), want, strict=True):
+            merged = repeats.merged(covered[row], len(t))
+            assert (sum(z - a for a, z in merged), len(merged)) == (removed, runs)
+
+
 def test_repeats_in_pieces(monkeypatch):
     """A long text scanned in pieces has the anchors that it has as a whole."""
     rng = random.Random(3)

@@ -16,7 +16,10 @@ around it can reach) decides the rest:
 * a group with more than ``CLASS`` different contexts is not put in one task:
   its windows are hashed (128 bits) and counted.
 
-All three are exact but for hash collisions (64 bits within equal 64-bit grams,
+``spans`` gives what is covered, ``without_repeats`` what is left, and ``groups`` the
+maximal repeats themselves with all their occurrences.
+
+All three ways are exact but for hash collisions (64 bits within equal 64-bit grams,
 or 128 bits).
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing;
@@ -161,6 +164,16 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((x, first))
 
 
+def _enhanced(lefts: list[bytes], rights: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the right sides, both sides' bytes in its order, and the rank of each left side read backwards."""
+    order = sorted(range(len(rights)), key=rights.__getitem__)
+    right = _matrix([rights[i] for i in order], LENGTH)
+    left = _matrix([lefts[i][::-1] for i in order], LEFT)
+    rank = np.empty(len(order), np.int64)
+    rank[sorted(range(len(order)), key=lambda i: lefts[order[i]][::-1])] = np.arange(len(order))
+    return order, right, left, rank
+
+
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
     """Groups of suffixes with a common prefix that is, with what is common on the left, a repeat of ``least`` bytes for some.
 
@@ -169,11 +182,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iter
     repeat: it ends where the prefix does, and its left extension is as far as
     the members' left sides agree.
     """
-    order = sorted(range(len(rights)), key=rights.__getitem__)
-    right = _matrix([rights[i] for i in order], LENGTH)
-    left = _matrix([lefts[i][::-1] for i in order], LEFT)
-    rank = np.empty(len(order), np.int64)
-    rank[sorted(range(len(order)), key=lambda i: lefts[order[i]][::-1])] = np.arange(len(order))
+    order, right, left, rank = _enhanced(lefts, rights)
     seen: dict[tuple[int, int], bool] = {}
     for length, first, last in intervals(common(right[:-1], right[1:]).tolist()):
         if length + LEFT < least or (first, last) in seen:
@@ -185,6 +194,39 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iter
         yield length, int(near.min()), [order[x] for x in m], far.tolist()
 
 
+def repeat_groups(lefts: list[bytes], rights: list[bytes], counts: list[int], least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    """(bytes left, bytes right, members) of every maximal repeat of ``least`` bytes around an anchor of its own.
+
+    Two trees are scanned, that of the right sides and, in each of its intervals, that of
+    the left ones: a group can be extended on neither side without losing a member. The
+    members are all contexts that hold the string there; ``counts`` says how often each stands in the texts.
+    """
+    order, right, left, rank = _enhanced(lefts, rights)
+    lcp = common(right[:-1], right[1:])
+    whole = set()
+
+    def own(f: int, n: int, i: int) -> bool:
+        # else the string also stands where other windows have hidden this anchor
+        text = lefts[i][len(lefts[i]) - f :] + rights[i][:n]
+        return f in anchors([text])[1]
+
+    for n, first, last in intervals(lcp.tolist()):
+        if n + LEFT < least:
+            continue
+        m = first + np.argsort(rank[first : last + 1])
+        for f, a, b in intervals(common(left[m[:-1]], left[m[1:]]).tolist()):
+            at = m[a : b + 1]
+            if n + f < least or lcp[at.min() : at.max()].min() > n:
+                continue
+            members = [order[x] for x in at]
+            whole.update(i for i in members if f == len(lefts[i]) and n == len(rights[i]))
+            if own(f, n, members[0]):
+                yield f, n, members
+    for i, c in enumerate(counts):
+        if c > 1 and i not in whole and own(len(lefts[i]), len(rights[i]), i):
+            yield len(lefts[i]), len(rights[i]), [i]
+
+
 def repeated(lefts: list[bytes], rights: list[bytes], wanted: list[bool], least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """(member, bytes left, bytes right) of the repeats of the members that are ``wanted``."""
     if len(rights) == 2:
@@ -235,8 +277,16 @@ def _by_trees(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(scan, "row long, start long, stop long")
 
 
-def _by_windows(contexts: DataFrame) -> DataFrame:
-    """(row, start, stop) from groups of any size: every window is hashed and counted."""
+def _anchored_there(text: bytes, place: int) -> np.ndarray:
+    """For each window of ``text``: is its anchor at ``place``?"""
+    grams = Prefix(np.frombuffer(text, np.uint8)).grams(GRAM)
+    least = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(least, LENGTH - GRAM + 1)
+    return windows.argmin(axis=1) + np.arange(len(windows)) == place
+
+
+def _windows(contexts: DataFrame, own: bool = False) -> DataFrame:
+    """(w1, w2, row, start, n) of every window around the anchors (``own``: of those that have it as theirs), w1 and w2 being its hash."""
 
     def make(batches):
         for batch in batches:
@@ -245,30 +295,45 @@ def _by_windows(contexts: DataFrame) -> DataFrame:
                 b = batch.slice(i, 64)
                 for h, row, pos, n, left, right in zip(*(b[c].to_pylist() for c in ("h", "row", "pos", "n", "left", "right")), strict=True):
                     text = left + right
+                    theirs = _anchored_there(text, len(left)) if own else None
                     for at in range(max(0, len(left) - LEFT), min(len(left), len(text) - LENGTH) + 1):
+                        if own and not theirs[at]:
+                            continue
                         d = hashlib.blake2b(text[at : at + LENGTH], digest_size=16).digest()
                         for c, v in zip(cols, (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), row, pos - len(left) + at, n), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["w1", "w2", "row", "start", "n"])
 
-    windows = written(contexts.mapInArrow(make, "w1 long, w2 long, row long, start long, n long"), "windows")
+    return written(contexts.mapInArrow(make, "w1 long, w2 long, row long, start long, n long"), "windows")
+
+
+def _by_windows(contexts: DataFrame) -> DataFrame:
+    """(row, start, stop) from groups of any size: every window is hashed and counted."""
+    windows = _windows(contexts)
     # a window may lie around two anchors: what counts is two places
     place = F.struct("row", "start")
     twice = written(windows.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("w1", "w2"), "twice")
     return windows.where("n = 1").join(twice, ["w1", "w2"]).select("row", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(row, start, stop) of repeats in ``docs`` (row, data): together they cover every byte that is repeated."""
-    spark = docs.sparkSession
+def _hits(docs: DataFrame) -> DataFrame:
+    """(h, c, row, pos, several) of the anchors whose gram stands at others too; ``several``: in different contexts."""
     found = _anchored(docs).groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
     found = written(found.select("h", (F.col("lo") != F.col("hi")).alias("several")), "grams")
-    release(spark)
-    hits = written(_anchored(docs).join(found, "h"), "hits")
-    release(spark)
-    per = written(hits.groupBy("h", "c", "several").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("x")).select("h", "c", "several", "n", "x.row", "x.pos"), "contexts")
-    whole = hits.join(per.where("n > 1").select("h", "c"), ["h", "c"]).select("row", F.greatest(F.col("pos") - LEFT, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("stop"))
-    several = per.where("several").select("h", "n", "row", "pos")
+    release(docs.sparkSession)
+    out = written(_anchored(docs).join(found, "h"), "hits")
+    release(docs.sparkSession)
+    return out
+
+
+def _contexts(hits: DataFrame) -> DataFrame:
+    """One anchor (row, pos) of each different context, with their number n."""
+    per = hits.groupBy("h", "c", "several").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("x"))
+    return written(per.select("h", "c", "several", "n", "x.row", "x.pos"), "contexts")
+
+
+def _sides(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """``several`` (h, n, row, pos) with the bytes on both sides; ``large``: more than CLASS contexts in the group."""
     several = several.join(several.groupBy("h").agg((F.count("*") > CLASS).alias("large")), "h")
     asked = written(several.groupBy("row").agg(F.collect_list(F.struct("pos", "h", "n", "large")).alias("asked")), "asked")
 
@@ -280,14 +345,67 @@ def spans(docs: DataFrame) -> DataFrame:
                     out += [(a["h"], row, a["pos"], a["n"], a["large"], data[max(0, a["pos"] - LEFT) : a["pos"]], data[a["pos"] : a["pos"] + LENGTH]) for a in asked]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["h", "row", "pos", "n", "large", "left", "right"])
 
-    contexts = written(docs.join(asked, "row").mapInArrow(cut, "h long, row long, pos long, n long, large boolean, left binary, right binary"), "sides")
-    release(spark)
+    out = written(docs.join(asked, "row").mapInArrow(cut, "h long, row long, pos long, n long, large boolean, left binary, right binary"), "sides")
+    release(docs.sparkSession)
+    return out
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """(row, start, stop) of repeats in ``docs`` (row, data): together they cover every byte that is repeated."""
+    hits = _hits(docs)
+    per = _contexts(hits)
+    whole = hits.join(per.where("n > 1").select("h", "c"), ["h", "c"]).select("row", F.greatest(F.col("pos") - LEFT, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("stop"))
+    contexts = _sides(docs, per.where("several").select("h", "n", "row", "pos"))
     found = whole.unionByName(_by_trees(contexts.where("not large").drop("large")))
     if not contexts.where("large").isEmpty():
         found = found.unionByName(_by_windows(contexts.where("large").drop("large")))
     return found
 
 
+def groups(docs: DataFrame) -> DataFrame:
+    """(group, row, start, stop): the maximal repeats of ``docs`` (row, data), each with all its occurrences.
+
+    The strings of a group are equal, and no longer string within the reach of their
+    anchor (LEFT bytes before it, LENGTH from it) stands at all of them. A gram with over CLASS
+    contexts gives its repeated windows instead, of which there are as many as bytes.
+    """
+    hits = _hits(docs)
+    per = _contexts(hits)
+    sides = _sides(docs, per.where("several or n > 1").select("h", "n", "row", "pos"))
+
+    def scan(batches):
+        now, group = None, []
+
+        def done():
+            out = []
+            if group:
+                for k, (f, n, members) in enumerate(repeat_groups(*([g[x] for g in group] for x in (3, 4, 2)))):
+                    out += [(now, k, group[i][0], group[i][1], f, n) for i in members]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["h", "k", "row", "pos", "before", "after"])
+
+        for batch in batches:
+            for h, *rest in zip(*(batch[c].to_pylist() for c in ("h", "row", "pos", "n", "left", "right")), strict=True):
+                if h != now:
+                    yield from done()
+                    now, group = h, []
+                group.append(rest)
+        yield from done()
+
+    small = sides.where("not large").drop("large").repartition("h").sortWithinPartitions("h")
+    found = small.mapInArrow(scan, "h long, k long, row long, pos long, before long, after long")
+    # a context stands for all anchors that have it
+    named = found.join(per.select("h", "c", "row", "pos"), ["h", "row", "pos"]).select("h", "c", "k", "before", "after")
+    span = lambda a, b: ((F.col("pos") - a).alias("start"), (F.col("pos") + b).alias("stop"))
+    out = hits.join(named, ["h", "c"]).select(F.xxhash64("h", "k").alias("group"), "row", *span(F.col("before"), F.col("after")))
+    if not sides.where("large").isEmpty():
+        large = hits.join(sides.where("large").select("h").distinct(), "h").select("h", "row", "pos", F.lit(1).cast("long").alias("n"))
+        w = _windows(_sides(docs, large).drop("large"), own=True).select("w1", "w2", "row", "start").distinct()
+        twice = w.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+        out = out.unionByName(w.join(twice, ["w1", "w2"]).select(F.xxhash64("w1", "w2").alias("group"), "row", "start", (F.col("start") + LENGTH).alias("stop")))
+    return out
+
+
 def merged(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     """Runs that cover the same bytes, ascending and apart, within a text of ``size`` bytes."""
     out: list[tuple[int, int]] = []
