@@ -29,6 +29,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("seq"))
 
 
+#: A new index has at least MIN_BUCKETS buckets, and so many that each gets about BUCKET_ROWS rows of its first batch.
+MIN_BUCKETS, BUCKET_ROWS = 64, 1_000_000
+
+
+def buckets_for(rows: DataFrame) -> int:
+    return max(MIN_BUCKETS, -(-rows.count() // BUCKET_ROWS))
+
+
 class DigestIndex:
     """Digests seen so far, at ``path`` (a folder in shared storage), in ``buckets`` buckets.
 
@@ -37,7 +45,7 @@ class DigestIndex:
 
     COLUMNS = "sha BINARY, doc_id BIGINT, seq BIGINT, batch STRING"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = MIN_BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.table} ({self.COLUMNS}) USING parquet CLUSTERED BY (sha) SORTED BY (sha) INTO {buckets} BUCKETS LOCATION '{path}'")
@@ -52,7 +60,10 @@ class DigestIndex:
         """
         first = digested.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "seq")).alias("m"))
         fresh = first.select("sha", F.col("m.doc_id").alias("doc_id"), F.col("m.seq").alias("seq"), F.lit(batch).alias("batch"))
-        fresh = fresh.join(self.read().select("sha"), "sha", "left_anti")
+        # written, as Catalyst would push the join below the aggregate: to all copies
+        fresh = written(fresh, "firsts").join(self.read().select("sha").hint("merge"), "sha", "left_anti")
+        # each bucket is written by one task, to one file: the bucket of a row is this hash
+        fresh = fresh.repartitionById(self.buckets, F.pmod(F.hash("sha"), F.lit(self.buckets)))
         fresh.select("sha", "doc_id", "seq", "batch").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
         return self.read().where(F.col("batch") == batch)
@@ -64,8 +75,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     ``kept`` is false too for a text that an earlier batch put into ``index``.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, scratch(spark, "digests"))
     rows = written(digests(docs), "digested")
+    index = index or DigestIndex(spark, scratch(spark, "digests"), buckets_for(rows))
     index.add(rows, batch)
     sizes = rows.groupBy("sha").agg(F.count("*").alias("group_size"))
     known = written(index.read().select("sha", F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), "batch").join(sizes, "sha"), "keepers")
@@ -89,8 +100,8 @@ def stage(docs: DataFrame) -> DataFrame:
 
 def _dropped(rows: DataFrame, sha: str, seq: str) -> DataFrame:
     spark = rows.sparkSession
-    index = DigestIndex(spark, scratch(spark, "digests"))
     rows = written(rows.select(F.col(sha).alias("sha"), "doc_id", F.col(seq).alias("seq")), "digested")
+    index = DigestIndex(spark, scratch(spark, "digests"), buckets_for(rows))
     index.add(rows, "0")
     keep = index.read().select("seq")
     return rows.select("seq").join(keep, "seq", "left_anti").select(F.col("seq").alias(seq))
