@@ -14,7 +14,8 @@ of diagonals that similarity ``SIMILAR`` leaves, gives
 
 Links of at least ``SIMILAR`` are joined into classes by connected components.
 Exact copies are one node throughout and are never paired. A pair at exactly
-0.8 is missed by all bands with probability below 1e-6.
+0.8 is missed by all bands with probability below 1e-6; in large buckets of texts
+that are mostly not linked, a pair can be left when the rounds end.
 
 Defined cases: a null text is empty; texts without words are in one class only
 if they are equal; texts under five words are one shingle; rows with equal texts
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ AGREE = 14
 STAR = 256
 #: Hubs of a bucket from the second round on; buckets of more members are narrowed for the next round.
 HUBS, NARROW = 8, 32
+#: Rounds of pairing.
+ROUNDS = 4
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -124,7 +126,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     others; the pairs that minima and lengths don't rule out are verified. Where all
     are linked to every hub, the bucket is done. Else its others meet again, linked
     ones too, with hubs from those that weren't linked to all, and a large bucket is
-    narrowed by one more band. The rounds end when no bucket has such a node beside another.
+    narrowed by one more band. The rounds end when no bucket has such a node beside another,
+    or after ROUNDS: what is left then are large buckets of texts most of which aren't linked.
     """
     members = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"), F.lit(True).alias("alone"))
     own = nodes.select("node", "n", "minima")
@@ -132,7 +135,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     passes = (F.least("n", "hub_n") >= SIMILAR * F.greatest("n", "hub_n")) & (_agree("minima", "hub_minima") >= AGREE)
     lo, hi = F.least("hub", "node"), F.greatest("hub", "node")
     found, tested, texts = [], [], None
-    for extra in count(1):
+    for extra in range(1, ROUNDS + 1):
         n_hubs = HUBS if texts is not None else 1
         least = [F.min(F.when(F.col("alone") & (F.pmod(F.xxhash64("node"), F.lit(n_hubs)) == k), F.col("node"))) for k in range(n_hubs)]
         stars = members.groupBy("bucket").agg(F.array_compact(F.array(*least)).alias("hubs"), F.count("*").alias("c")).where("c > 1 and size(hubs) > 0")
@@ -151,6 +154,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         good = written(fresh.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
         tested.append(good.select(lo.alias("a"), hi.alias("b")))
         found.append(verified(texts, good))
+        if extra == ROUNDS:
+            break
         linked = _together(found).select("a", "b", F.lit(True).alias("linked"))
         told = pairs.where("not is_hub").join(linked, (lo == F.col("a")) & (hi == F.col("b")), "left")
         told = written(told.groupBy("bucket", "node").agg(F.max(F.col("linked").isNull()).alias("alone"), F.max("c").alias("c")), "told")
