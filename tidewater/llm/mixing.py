@@ -169,5 +169,6 @@ def stage(docs: DataFrame) -> DataFrame:
     seq, n = unused(docs, "tw_seq"), unused(docs, "tw_passes")
     plan = mixture(sized(docs), "size", "source", "doc_id").where("passes > 0").select(F.col("tw_seq").alias(seq), F.col("passes").alias(n))
     plan = written(plan, "mix")
-    out = docs.withColumn(seq, place(docs)).join(plan, seq)
+    # the plan has a row for most documents: it is never small, so texts move once at any size
+    out = docs.withColumn(seq, place(docs)).join(plan.hint("merge"), seq)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)
