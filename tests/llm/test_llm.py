@@ -285,6 +285,23 @@ def test_near_dup_in_mixed_buckets(spark, tmp_path):
     assert {r["doc_id"]: r["class_id"] for r in found} == dict(enumerate(brute_classes(texts)))
 
 
+def test_near_dup_among_strangers(spark, tmp_path, monkeypatch):
+    """Hundreds of texts share most of a template without being linked; the few linked ones share nearly all their buckets with them."""
+    rng = random.Random(17)
+    template = sentence(rng, 92)
+    texts = [template + " " + sentence(rng, 12) for _ in range(320)]
+    for i in range(40):
+        texts.append(" ".join([*texts[i].split(" ")[:93], sentence(rng, 11)]))
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    want = dict(enumerate(brute_classes(texts)))
+    assert len(set(want.values())) > 250
+    for block in (near_dup.BLOCK, 50):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        found = got(near_dup.near_dup(spark.read.parquet(str(tmp_path / "t"))))
+        assert {r["doc_id"]: r["class_id"] for r in found} == want
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.aligned(a, a) == 1

@@ -5,8 +5,8 @@ each of ``BANDS`` hash functions the sketch takes the ``TAKEN`` shingles with
 the least hashes and retains their order in the text; two texts share a band
 only if they share those shingles in that order, so the sketch follows edit
 similarity, not the bag. Texts that share a band are candidates, each paired
-with one of the band; where some aren't linked to it, they and the others are
-paired again (``links``). Candidates are verified by alignment: of the
+with one of the band; where that leaves several components, all pairs across them
+follow (``links``). Candidates are verified by alignment: of the
 shingles that both have, the longest chain in the order of both, within the band
 of diagonals that similarity ``SIMILAR`` leaves, gives
 
@@ -14,8 +14,7 @@ of diagonals that similarity ``SIMILAR`` leaves, gives
 
 Links of at least ``SIMILAR`` are joined into classes by connected components.
 Exact copies are one node throughout and are never paired. A pair at exactly
-0.8 is missed by all bands with probability below 1e-6; in large buckets of texts
-that are mostly not linked, a pair can be left when the rounds end.
+0.8 is missed by all bands with probability below 1e-6.
 
 Defined cases: a null text is empty; texts without words are in one class only
 if they are equal; texts under five words are one shingle; rows with equal texts
@@ -44,10 +43,10 @@ SHORT, SHORT_BANDS = 24, 16
 AGREE = 14
 #: Members of a star that are verified together.
 STAR = 256
-#: Hubs of a bucket from the second round on; buckets of more members are narrowed for the next round.
-HUBS, NARROW = 8, 32
-#: Rounds of pairing.
-ROUNDS = 4
+#: Members of a block; a task compares the minima of two blocks of a bucket.
+BLOCK = 1024
+#: Pairs of a member that are verified before all that are left.
+NEAREST = 8
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -120,50 +119,102 @@ def _agree(a: str, b: str) -> Column:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity), a < b.
-
-    Each round pairs, in every bucket, a few hubs (the first time one) with all
-    others; the pairs that minima and lengths don't rule out are verified. Where all
-    are linked to every hub, the bucket is done. Else its others meet again, linked
-    ones too, with hubs from those that weren't linked to all, and a large bucket is
-    narrowed by one more band. The rounds end when no bucket has such a node beside another,
-    or after ROUNDS: what is left then are large buckets of texts most of which aren't linked.
+    """Verified links (a, b, similarity), a < b, whose components are those of all pairs that share a bucket.
+
+    First a hub of every bucket is paired with all others. Then, in buckets whose members
+    aren't in one component yet, the pairs across components that minima and
+    lengths don't rule out are found in blocks (``_across``): first each member's NEAREST,
+    which joins most of what belongs together, then all that are left.
     """
-    members = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"), F.lit(True).alias("alone"))
+    members = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     own = nodes.select("node", "n", "minima")
     hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("minima").alias("hub_minima"))
     passes = (F.least("n", "hub_n") >= SIMILAR * F.greatest("n", "hub_n")) & (_agree("minima", "hub_minima") >= AGREE)
-    lo, hi = F.least("hub", "node"), F.greatest("hub", "node")
-    found, tested, texts = [], [], None
-    for extra in range(1, ROUNDS + 1):
-        n_hubs = HUBS if texts is not None else 1
-        least = [F.min(F.when(F.col("alone") & (F.pmod(F.xxhash64("node"), F.lit(n_hubs)) == k), F.col("node"))) for k in range(n_hubs)]
-        stars = members.groupBy("bucket").agg(F.array_compact(F.array(*least)).alias("hubs"), F.count("*").alias("c")).where("c > 1 and size(hubs) > 0")
-        rows = written(members.join(written(stars, "stars"), "bucket").select("bucket", "node", "hubs", "c"), "members")
-        if rows.isEmpty():
-            break
-        if texts is None:
-            needed = rows.select("node").distinct().join(nodes.select("node", "row"), "node")
-            texts = written(docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text"), "texts")
-            release(docs.sparkSession)
-        pairs = rows.select("bucket", "node", "c", F.array_contains("hubs", F.col("node")).alias("is_hub"), F.explode("hubs").alias("hub")).where("hub < node or hub > node and not is_hub")
-        # a bucket's members are verified in groups of about STAR; a node in several follows the largest
-        fresh = pairs.groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
-        if tested:
-            fresh = fresh.join(_together(tested), (lo == F.col("a")) & (hi == F.col("b")), "left_anti")
-        good = written(fresh.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
-        tested.append(good.select(lo.alias("a"), hi.alias("b")))
+    stars = written(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1"), "stars")
+    rows = written(members.join(stars, "bucket").select("bucket", "node", "hub", "c"), "members")
+    if rows.isEmpty():
+        return nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity"))
+    needed = rows.select("node").distinct().join(nodes.select("node", "row"), "node")
+    texts = written(docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text"), "texts")
+    release(docs.sparkSession)
+    # a bucket's members are verified in groups of about STAR; a node in several follows the largest
+    fresh = rows.where("hub < node").groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
+    good = written(fresh.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
+    tested, found = [good.select(F.col("hub").alias("a"), F.col("node").alias("b"))], [verified(texts, good)]
+    # two members are their hub's pair: that one is tested
+    rows = rows.where("c > 2").select("bucket", "node")
+    for most in (NEAREST, None):
+        roots = components(_together(found))
+        rows, blocks = _mixed(rows.select("bucket", "node"), roots)
+        pairs = _across(blocks.join(own, "node"), most)
+        pairs = written(pairs.distinct().join(_together(tested), ["a", "b"], "left_anti"), "pairs")
+        sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
+        good = pairs.join(sizes, "a").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).alias("cut"))
+        good = written(good, "candidates")
+        tested.append(pairs)
         found.append(verified(texts, good))
-        if extra == ROUNDS:
-            break
-        linked = _together(found).select("a", "b", F.lit(True).alias("linked"))
-        told = pairs.where("not is_hub").join(linked, (lo == F.col("a")) & (hi == F.col("b")), "left")
-        told = written(told.groupBy("bucket", "node").agg(F.max(F.col("linked").isNull()).alias("alone"), F.max("c").alias("c")), "told")
-        mixed = told.where("alone").select("bucket").distinct()
-        band = F.get("bands", (F.pmod(F.col("bucket"), F.lit(BANDS)) + extra) % BANDS)
-        members = told.join(mixed, "bucket", "left_semi").join(nodes.select("node", "bands"), "node")
-        members = written(members.select("node", F.when(F.col("c") > NARROW, F.xxhash64("bucket", band)).otherwise(F.col("bucket")).alias("bucket"), "alone"), "again")
-    return _together(found) if found else nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity"))
+        release(docs.sparkSession)
+    return _together(found)
+
+
+def _mixed(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (bucket, node) of buckets with several components, and (bucket, i, j, side, node, root) that deals each bucket to pairs of blocks.
+
+    Of buckets with the same members one stays. A member of block ``side`` goes to every pair that has its block.
+    """
+    rooted = rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    same = ["c", "x1", "x2"]
+    kinds = rooted.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), "node")).alias("x2"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    kinds = written(kinds.where("lo <> hi").groupBy(same).agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / BLOCK).alias("blocks")), "mixed")
+    left = written(rooted.join(kinds, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks"))), "left")
+    dealt = left.select("bucket", "node", "root", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return left, dealt.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
+
+
+def _across(blocks: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that minima and lengths don't rule out; with ``most`` those of each member whose minima agree best."""
+
+    def pairs(group):
+        side, node, root, n = (np.array(c) for c in zip(*(g[:4] for g in group), strict=True))
+        minima = np.frombuffer(b"".join(g[4] for g in group), np.uint16).reshape(len(group), BANDS)
+        first = side == side.min()
+        x, y = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(group)),) * 2
+        for at in range(0, len(x), 256):
+            r = x[at : at + 256]
+            agree = np.zeros((len(r), len(y)), np.int8)
+            for k in range(BANDS):
+                agree += minima[r, k][:, None] == minima[y, k]
+            short, long = np.minimum(n[r][:, None], n[y]), np.maximum(n[r][:, None], n[y])
+            agree[(root[r][:, None] == root[y]) | (short < SIMILAR * long) | (agree < AGREE)] = 0
+            if most and len(y) > most:
+                # the best of each row; ties beyond the number fall to the last pass
+                least = -np.partition(-agree, most - 1, axis=1)[:, most - 1]
+                agree[agree < np.maximum(least, 1)[:, None]] = 0
+            u, v = np.nonzero(agree)
+            u, v = node[r[u]], node[y[v]]
+            yield np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+
+    def scan(batches):
+        now, group = None, []
+
+        def done():
+            # a pair of blocks of which one is empty has no pairs
+            if len(group) > 1 and (now[1] == now[2] or group[0][0] != group[-1][0]):
+                for a, b in pairs(group):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for bucket, i, j, *rest in zip(*(batch[c].to_pylist() for c in ("bucket", "i", "j", "side", "node", "root", "n", "minima")), strict=True):
+                if (bucket, i, j) != now:
+                    yield from done()
+                    now, group = (bucket, i, j), []
+                group.append(rest)
+        yield from done()
+
+    dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return dealt.mapInArrow(scan, "a long, b long")
 
 
 def _together(frames: list[DataFrame]) -> DataFrame:
