@@ -100,6 +100,19 @@ def test_pii(docs, empty):
     assert got(pii.sanitise(empty)) == []
 
 
+def test_pii_rare_terms(spark, tmp_path):
+    """Two different surroundings are enough for a term that stands nowhere else; copies of one are not, nor is a common term."""
+    rng = random.Random(9)
+    filler = lambda n: " ".join(rng.choice(("und", "der", "mit", "das")) for _ in range(n))
+    texts = [f"{filler(30)} {w}" for w in ("Bericht", "Vertrag") for _ in range(150)]
+    texts += [f"Morgenrot Bericht {w} an r.m@mail.example.com" for w in ("Herbst", "Winter")]
+    texts += ["Abendrot Vertrag an a.b@mail.example.com"] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    found = {r["doc_id"]: r for r in got(pii.sanitise(spark.read.parquet(str(tmp_path / "t")), with_text=True))}
+    assert [found[i]["clean_text"] for i in (300, 301)] == ["[TERM] Bericht Herbst an [EMAIL]", "[TERM] Bericht Winter an [EMAIL]"]
+    assert all(found[i]["n_terms"] == 0 for i in (302, 303, 304))
+
+
 def test_pii_long_runs(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 60000 + " " + "1" * 60000 + " x@y.z" + "@q.w_r@s.t")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
     r = got(pii.with_base(spark.read.parquet(str(tmp_path / "t"))))[0]
