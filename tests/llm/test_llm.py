@@ -231,6 +231,18 @@ def test_url_rules_and_graph(spark, tmp_path):
     assert len(found) == len(rows)
 
 
+def test_unruled_pages_of_seeds(spark, tmp_path):
+    """The graph's verdict holds for seeds' pages that no rule fits; rules stand."""
+    link = lambda *h: "".join(f"<a href='http://{x}/p'>t</a>" for x in h)
+    rows = [(1, "http://x.net/es/", None), (2, "http://x.net/", link("y.net")), (3, "http://y.net/fr/", link("x.net")), (4, "http://y.net/en/", None), (5, "http://good.com/", link("fine.org")), (6, "http://fine.org/", None)]
+    rows += [(10 + i, f"http://x{i}.com/", None) for i in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in got(url_filter.url_filter(spark.read.parquet(str(tmp_path / "p"))))}
+    assert found[1] == ("net/es/", "block") and found[3] == ("net/fr/", "block")
+    assert found[2] == (None, "block") and found[4] == (None, "block")
+    assert found[5] == ("com/", "allow") and found[6] == (None, "allow")
+
+
 def test_pagerank_against_dense(spark):
     edges = [("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("c", "a", 1), ("d", "c", 5)]
     names = "abcd"

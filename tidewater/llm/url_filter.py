@@ -3,9 +3,9 @@
 Rules decide what they fit. Hosts whose pages rules allow are trusted seeds and
 those that rules block are blocked seeds. Personalised PageRank carries trust
 along the host edges from the trusted seeds, and distrust against them from
-the blocked ones (who links to a blocked host is suspect). A host that no rule
-fits is blocked if its distrust outweighs its trust by ``RATIO`` and is above
-``FLOOR`` times the mean.
+the blocked ones (who links to a blocked host is suspect). Pages that no rule
+fits are blocked if their host's distrust outweighs its trust by ``RATIO`` and is above
+``FLOOR`` times the mean; those of the seeds' hosts too.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no
 rule and is allowed; a null html has no links; links to the own host and
@@ -88,7 +88,6 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     both = trust.select("host", F.col("score").alias("trust")).join(doubt.select("host", F.col("score").alias("doubt")), "host", "full")
     both = written(both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("doubt", F.lit(0.0)).alias("doubt")), "scores")
     mean = both.agg(F.avg("doubt")).first()[0] or 0.0
-    seeded = seeds.select("host").distinct().withColumn("seeded", F.lit(True))
-    bad = both.where((F.col("doubt") > RATIO * F.col("trust")) & (F.col("doubt") > FLOOR * mean)).join(seeded, "host", "left_anti")
+    bad = both.where((F.col("doubt") > RATIO * F.col("trust")) & (F.col("doubt") > FLOOR * mean))
     bad = written(bad.select("host", F.lit("block").alias("by_graph")), "blocked")
     return base.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_graph", F.lit("allow")).alias("verdict"))
