@@ -176,6 +176,39 @@ def test_repeats_in_pieces(monkeypatch):
     assert set(zip(whole["pos"], whole["h"], whole["c"], strict=True)) == set(zip(cut["pos"], cut["h"], cut["c"], strict=True))
 
 
+def test_pieces_have_each_anchor_once(monkeypatch):
+    text = sentence(random.Random(3), 3000).encode()
+    whole = repeats._anchor_rows([text], [1]).to_pydict()
+    monkeypatch.setattr(repeats, "PIECE", 2000)
+    cut = repeats._anchor_rows([text], [1]).to_pydict()
+    assert sorted(zip(whole["pos"], whole["h"], whole["c"], strict=True)) == sorted(zip(cut["pos"], cut["h"], cut["c"], strict=True))
+
+
+def test_long_texts_without_repeats(spark, tmp_path):
+    """Where pieces meet nothing is repeated that isn't in the text."""
+    rng = random.Random(5)
+    passage = sentence(rng, 80)
+    texts = [sentence(rng, 2500), sentence(rng, 900) + passage + sentence(rng, 900) + passage, passage + sentence(rng, 1300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    want = Counter((i, *b) for i, b in enumerate(brute_repeats([t.encode() for t in texts])))
+    size = repeats.PIECE
+
+    def small_pieces(batches):
+        repeats.PIECE = 2000  # in the worker
+        try:
+            for batch in batches:
+                yield repeats._anchor_rows(batch["data"].to_pylist(), batch["row"].to_pylist())
+        finally:
+            repeats.PIECE = size
+
+    def anchored(docs):
+        return docs.where(F.length("data") >= repeats.LENGTH).mapInArrow(small_pieces, "h long, c long, row long, pos long")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(repeats, "_anchored", anchored)
+        assert repeats_found(spark.read.parquet(str(tmp_path / "t"))) == want
+
+
 def test_interval_tree():
     words = sorted([b"banana", b"anana", b"nana", b"ana", b"na", b"a"])
     lcp = [next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in zip(words, words[1:], strict=False)]

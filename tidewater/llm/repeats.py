@@ -103,10 +103,10 @@ def _anchor_rows(texts: list[bytes], rows: list[int]) -> pa.RecordBatch:
             for a, piece in pieces(t):
                 before = a - max(0, a - LEFT)
                 at, place, gram, around = anchors([piece])
-                # an anchor of a window that starts in this piece; its context must be whole
+                # each anchor is of one piece, which has all its windows and its context
                 low = 0 if a == 0 else before
                 end = a + PIECE >= len(t) - LENGTH + 1
-                ok = (place >= low) & (end | (place <= before + PIECE + LENGTH - 1)) & (end | (place + LENGTH <= len(piece)))
+                ok = (place >= low) & (end | (place < before + PIECE))
                 for o, x in zip(out, (gram[ok].view(np.int64), around[ok].view(np.int64), np.full(ok.sum(), r), place[ok] + max(0, a - LEFT)), strict=True):
                     o.append(x)
             continue
