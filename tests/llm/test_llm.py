@@ -354,12 +354,57 @@ def test_near_dup_among_strangers(spark, tmp_path, monkeypatch):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
     want = dict(enumerate(brute_classes(texts)))
     assert len(set(want.values())) > 250
-    for block in (near_dup.BLOCK, 50):
+    # pairs; a block a bucket; blocks of 50, and then by rare shingles
+    for few, block in ((10**6, near_dup.BLOCK), (2, near_dup.BLOCK), (2, 50)):
+        monkeypatch.setattr(near_dup, "FEW", few)
         monkeypatch.setattr(near_dup, "BLOCK", block)
         found = got(near_dup.near_dup(spark.read.parquet(str(tmp_path / "t"))))
         assert {r["doc_id"]: r["class_id"] for r in found} == want
 
 
+def test_near_dup_of_one_text(spark, tmp_path, monkeypatch):
+    """Hundreds of copies of one text with edits of their own: some pairs are linked, most are a little too far from each other."""
+    rng = random.Random(23)
+    base = sentence(rng, 90).split(" ")
+    texts = []
+    for _ in range(300):
+        words = base.copy()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = sentence(rng, 1)
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    want = dict(enumerate(brute_classes(texts)))
+    for block in (near_dup.BLOCK, 40):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        found = got(near_dup.near_dup(spark.read.parquet(str(tmp_path / "t"))))
+        assert {r["doc_id"]: r["class_id"] for r in found} == want
+
+
+def test_forest():
+    """A block gives links that join what all its pairs would, and none within a component; of two sides only pairs across."""
+    rng = random.Random(29)
+    base = sentence(rng, 80).split(" ")
+    texts = []
+    for _ in range(60):
+        words = base.copy()
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = sentence(rng, 1)
+        texts.append(" ".join(words).encode())
+    found = shingles(texts)
+    links = near_dup.forest(list(range(60)), list(range(60)), found, [0] * 60)
+    root = list(range(60))
+    for a, b, s in links:
+        assert s >= 0.8 and root[a] != root[b]
+        root = [root[a] if r == root[b] else r for r in root]
+    want = brute_classes([t.decode() for t in texts])
+    assert [root.index(r) for r in root] == [want.index(r) for r in want]
+    side = [i % 2 for i in range(60)]
+    assert all(side[a] != side[b] for a, b, _ in near_dup.forest(list(range(60)), list(range(60)), found, side))
+    assert near_dup.forest(list(range(60)), want, found, [0] * 60) == []
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.aligned(a, a) == 1

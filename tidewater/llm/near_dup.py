@@ -4,9 +4,9 @@ A text is the sequence of its five-word shingles, labelled by occurrence. For
 each of ``BANDS`` hash functions the sketch takes the ``TAKEN`` shingles with
 the least hashes and retains their order in the text; two texts share a band
 only if they share those shingles in that order, so the sketch follows edit
-similarity, not the bag. Texts that share a band are candidates, each paired
-with one of the band; where that leaves several components, all pairs across them
-follow (``links``). Candidates are verified by alignment: of the
+similarity, not the bag. Texts that share a band are candidates: each is paired
+with one of the band; where that leaves several components, all pairs across them are
+compared, large bands in blocks from which only links come (``links``). Candidates are verified by alignment: of the
 shingles that both have, the longest chain in the order of both, within the band
 of diagonals that similarity ``SIMILAR`` leaves, gives
 
@@ -43,10 +43,14 @@ SHORT, SHORT_BANDS = 24, 16
 AGREE = 14
 #: Members of a star that are verified together.
 STAR = 256
-#: Members of a block; a task compares the minima of two blocks of a bucket.
-BLOCK = 1024
-#: Pairs of a member that are verified before all that are left.
-NEAREST = 8
+#: Buckets of so many members at most give pairs; larger ones are worked out in blocks.
+FEW = 64
+#: Members of a block, and shingles of all its members.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+#: Shingles that an incidence matrix has columns for.
+COLUMNS = 4096
+#: Counts by which shingles are ordered.
+SLOTS = 1 << 18
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
@@ -121,11 +125,14 @@ def _agree(a: str, b: str) -> Column:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b, similarity), a < b, whose components are those of all pairs that share a bucket.
 
-    First a hub of every bucket is paired with all others. Then, in buckets whose members
-    aren't in one component yet, the pairs across components that minima and
-    lengths don't rule out are found in blocks (``_across``): first each member's NEAREST,
-    which joins most of what belongs together, then all that are left.
+    1. A hub of every bucket is paired with all others of it.
+    2. Buckets that hold several components then: one of up to FEW members gives
+       its pairs across components, FEW for each member at most. A larger one is dealt to
+       blocks; a task compares all of a block and only a forest of links leaves it (``forest``).
+    3. Where several blocks of a bucket still hold several components, their members meet
+       by rare shingles (``_rare``), which every two texts that similar share.
     """
+    spark = docs.sparkSession
     members = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     own = nodes.select("node", "n", "minima")
     hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("minima").alias("hub_minima"))
@@ -136,85 +143,190 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity"))
     needed = rows.select("node").distinct().join(nodes.select("node", "row"), "node")
     texts = written(docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text"), "texts")
-    release(docs.sparkSession)
+    release(spark)
     # a bucket's members are verified in groups of about STAR; a node in several follows the largest
     fresh = rows.where("hub < node").groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
     good = written(fresh.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
-    tested, found = [good.select(F.col("hub").alias("a"), F.col("node").alias("b"))], [verified(texts, good)]
+    found = [verified(texts, good)]
     # two members are their hub's pair: that one is tested
-    rows = rows.where("c > 2").select("bucket", "node")
-    for most in (NEAREST, None):
+    roots = components(found[0])
+    rooted = rows.where("c > 2").select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted.join(own.select("node", "n"), "node"), "rooted")
+    mixed = _mixed(rooted, "bucket")
+    left = written(rooted.join(mixed, "bucket"), "left")
+    few = left.where(F.col("c") <= FEW)
+    pairs = _across(few.select("bucket", "node", "root").join(own, "node")).distinct().join(good.select(F.col("hub").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
+    pairs = written(pairs.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(0).cast("long").alias("cut")), "pairs")
+    found.append(verified(texts, pairs))
+    many = left.where(F.col("c") > FEW).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    found.append(_dealt(many.select(F.col("bucket").alias("group"), "i", F.col("i").alias("j"), F.col("i").alias("side"), "node", "root"), texts))
+    release(spark)
+    several = many.where("blocks > 1").select("bucket", "node", "n")
+    if not several.isEmpty():
         roots = components(_together(found))
-        rows, blocks = _mixed(rows.select("bucket", "node"), roots)
-        pairs = _across(blocks.join(own, "node"), most)
-        pairs = written(pairs.distinct().join(_together(tested), ["a", "b"], "left_anti"), "pairs")
-        sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
-        good = pairs.join(sizes, "a").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).alias("cut"))
-        good = written(good, "candidates")
-        tested.append(pairs)
-        found.append(verified(texts, good))
-        release(docs.sparkSession)
+        rooted = written(several.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+        rest = written(rooted.join(_mixed(rooted, "bucket").select("bucket"), "bucket").select("node", "root").distinct(), "rest")
+        found.append(_rare(rest, texts))
     return _together(found)
 
 
-def _mixed(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members (bucket, node) of buckets with several components, and (bucket, i, j, side, node, root) that deals each bucket to pairs of blocks.
-
-    Of buckets with the same members one stays. A member of block ``side`` goes to every pair that has its block.
-    """
-    rooted = rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "rooted")
-    same = ["c", "x1", "x2"]
-    kinds = rooted.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), "node")).alias("x2"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    kinds = written(kinds.where("lo <> hi").groupBy(same).agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / BLOCK).alias("blocks")), "mixed")
-    left = written(rooted.join(kinds, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks"))), "left")
-    dealt = left.select("bucket", "node", "root", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    return left, dealt.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
+def _mixed(rows: DataFrame, group: str) -> DataFrame:
+    """(group, c, blocks) of the groups of ``rows`` (group, node, root, n) that hold several components; of those with the same members one stays."""
+    kinds = rows.groupBy(group).agg(
+        F.count("*").alias("c"), F.sum("n").alias("all_"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("second"), "node")).alias("x2"),
+    )
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("all_") / BLOCK_SHINGLES))
+    return written(kinds.where("lo <> hi").groupBy("c", "all_", "x1", "x2").agg(F.min(group).alias(group)).select(group, "c", blocks.alias("blocks")), "mixed")
 
 
-def _across(blocks: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that minima and lengths don't rule out; with ``most`` those of each member whose minima agree best."""
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in a bucket that minima and lengths don't rule out; ``rows`` has bucket, node, root, n, minima."""
 
     def pairs(group):
-        side, node, root, n = (np.array(c) for c in zip(*(g[:4] for g in group), strict=True))
-        minima = np.frombuffer(b"".join(g[4] for g in group), np.uint16).reshape(len(group), BANDS)
-        first = side == side.min()
-        x, y = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(group)),) * 2
-        for at in range(0, len(x), 256):
-            r = x[at : at + 256]
-            agree = np.zeros((len(r), len(y)), np.int8)
-            for k in range(BANDS):
-                agree += minima[r, k][:, None] == minima[y, k]
-            short, long = np.minimum(n[r][:, None], n[y]), np.maximum(n[r][:, None], n[y])
-            agree[(root[r][:, None] == root[y]) | (short < SIMILAR * long) | (agree < AGREE)] = 0
-            if most and len(y) > most:
-                # the best of each row; ties beyond the number fall to the last pass
-                least = -np.partition(-agree, most - 1, axis=1)[:, most - 1]
-                agree[agree < np.maximum(least, 1)[:, None]] = 0
-            u, v = np.nonzero(agree)
-            u, v = node[r[u]], node[y[v]]
-            yield np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        node, root, n = (np.array(c) for c in zip(*(g[:3] for g in group), strict=True))
+        minima = np.frombuffer(b"".join(g[3] for g in group), np.uint16).reshape(len(group), BANDS)
+        u, v = np.triu_indices(len(group), 1)
+        far = root[u] != root[v]
+        u, v = u[far], v[far]
+        ok = (np.minimum(n[u], n[v]) >= SIMILAR * np.maximum(n[u], n[v])) & ((minima[u] == minima[v]).sum(axis=1) >= AGREE)
+        u, v = node[u[ok]], node[v[ok]]
+        return np.minimum(u, v), np.maximum(u, v)
+
+    def scan(batches):
+        for group in _groups(batches, ("bucket",), ("node", "root", "n", "minima")):
+            a, b = pairs(group[1])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "a long, b long")
+
+
+def _groups(batches, keys: tuple[str, ...], columns: tuple[str, ...]):
+    """(key, rows) of runs of equal keys."""
+    now, group = None, []
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            b = batch.slice(i, 1024)
+            for key, *row in zip(zip(*(b[k].to_pylist() for k in keys), strict=True), *(b[c].to_pylist() for c in columns), strict=True):
+                if key != now:
+                    if group:
+                        yield now, group
+                    now, group = key, []
+                group.append(row)
+    if group:
+        yield now, group
+
+
+def forest(node: list[int], root: list[int], found: list[np.ndarray], side: list[int]) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) that join what belongs together in a block, or across its two sides if it has two; none within a component.
+
+    How many shingles each two texts share is counted by products of incidence
+    matrices. Pairs that share enough are verified, the most similar first, unless links
+    have joined them already.
+    """
+    sides = np.array(side)
+    first = sides == sides.min()
+    x, y = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(node)),) * 2
+    n, roots = np.array([len(s) for s in found]), np.array(root)
+    _, at, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    shared = count[at] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[at[shared]], np.repeat(np.arange(len(node)), n)[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    overlap = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int((count > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(column, (a, a + COLUMNS))
+        part = np.zeros((len(node), COLUMNS), np.float32)
+        part[owner[i:j], column[i:j] - a] = 1
+        overlap += part[x] @ part[y].T
+    total = (n[x][:, None] + n[y]).astype(np.float32)
+    ok = (overlap * (1 + SIMILAR) >= SIMILAR * total - 1e-3) & (roots[x][:, None] != roots[y])
+    if first.all():
+        ok &= np.arange(len(node))[:, None] < np.arange(len(node))
+    u, v = np.nonzero(ok)
+    order = np.argsort(-overlap[u, v] / total[u, v], kind="stable")
+    top = {r: r for r in root}
+
+    def find(r):
+        while top[r] != r:
+            top[r] = r = top[top[r]]
+        return r
+
+    out = []
+    for i, j in zip(x[u[order]].tolist(), y[v[order]].tolist(), strict=True):
+        p, q = find(root[i]), find(root[j])
+        if p != q and (s := aligned(found[i], found[j])) > 0:
+            top[p] = q
+            out.append((min(node[i], node[j]), max(node[i], node[j]), s))
+    return out
+
+
+def _dealt(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links from ``rows`` (group, i, j, side, node, root): each (group, i, j) is a task's block, or two blocks told apart by ``side``."""
 
     def scan(batches):
-        now, group = None, []
+        for _, group in _groups(batches, ("group", "i", "j"), ("side", "node", "root", "text")):
+            side, node, root, text = map(list, zip(*group, strict=True))
+            if len(node) > 1 and len(set(root)) > 1 and (found := forest(node, root, shingles([t.encode() for t in text], WORDS), side)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["a", "b", "similarity"])
+
+    whole = rows.join(texts, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return written(whole.mapInArrow(scan, "a long, b long, similarity double"), "links")
+
 
-        def done():
-            # a pair of blocks of which one is empty has no pairs
-            if len(group) > 1 and (now[1] == now[2] or group[0][0] != group[-1][0]):
-                for a, b in pairs(group):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join all that belongs together in ``rest`` (node, root), of any number of rows.
 
+    Two texts of similarity SIMILAR share one of the first shingles of each, in
+    any order of all shingles, if so many are taken that those after them are
+    fewer than both must share. The order is by how often shingles occur: texts that have
+    but common shingles in common share none of the first. How often is told by a
+    table of SLOTS counts, whatever the number of texts; it only has to be the same for all.
+    """
+    spark = rest.sparkSession
+    own = written(rest.join(texts, "node"), "rest")
+
+    def count(batches):
+        slots = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                found = shingles([x.as_py().encode() for x in batch.slice(i, 128)["text"]], WORDS)
+                slots += np.bincount((np.concatenate(found) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(slots)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(slots[at])], ["slot", "n"])
+
+    counted = own.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    table = np.zeros(SLOTS, np.int64)
+    table[counted["slot"]] = counted["n"]
+    often = spark.sparkContext.broadcast(table)
+
+    def keys(batches):
         for batch in batches:
-            for bucket, i, j, *rest in zip(*(batch[c].to_pylist() for c in ("bucket", "i", "j", "side", "node", "root", "n", "minima")), strict=True):
-                if (bucket, i, j) != now:
-                    yield from done()
-                    now, group = (bucket, i, j), []
-                group.append(rest)
-        yield from done()
-
-    dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    return dealt.mapInArrow(scan, "a long, b long")
+            for i in range(0, batch.num_rows, 128):
+                b = batch.slice(i, 128)
+                parts = []
+                for s in shingles([x.as_py().encode() for x in b["text"]], WORDS):
+                    first = len(s) - int(np.ceil(SIMILAR * len(s) - 1e-9)) + 1
+                    parts.append(s[np.lexsort((s, often.value[(s % np.uint64(SLOTS)).astype(np.int64)]))[:first]].view(np.int64))
+                at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                cols = [pa.array(np.concatenate(parts)), *(b[c].take(pa.array(at)) for c in ("node", "root"))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array([len(p) for p in parts])[at])], ["group", "node", "root", "n"])
+
+    rows = written(own.mapInArrow(keys, "group long, node long, root long, n long"), "keys")
+    kinds = _mixed(rows.withColumn("n", F.col("n") / (1 - SIMILAR)), "group")
+    rows = written(rows.join(kinds, "group"), "rare")
+    # of a group of several blocks the largest component need not be compared with itself
+    per = rows.where("blocks > 1").groupBy("group", "root").agg(F.count("*").alias("k"))
+    per = per.groupBy("group").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("mains"))
+    rows = rows.join(written(per, "mains"), "group", "left").withColumn("within", F.col("root").eqNullSafe(F.col("main")))
+    share = F.col("blocks") / F.col("c")
+    n_own = F.when(F.col("blocks") == 1, 1).otherwise(F.greatest(F.ceil((F.col("c") - F.col("mains")) * share), F.lit(1))).cast("long")
+    n_main = F.when(F.col("blocks") == 1, 0).otherwise(F.ceil(F.col("mains") * share)).cast("long")
+    rows = rows.withColumns({"o": n_own, "m": n_main}).withColumn("side", F.when(F.col("within"), F.col("o") + F.pmod(F.xxhash64("node"), F.greatest("m", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("o"))))
+    others = F.when(F.col("within"), F.sequence(F.lit(0).cast("long"), F.col("o") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("o") + F.col("m") - 1))
+    rows = rows.select("group", "side", "node", "root", F.explode(others).alias("other"))
+    return _dealt(rows.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root"), texts)
 
 
 def _together(frames: list[DataFrame]) -> DataFrame:
