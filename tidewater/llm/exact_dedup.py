@@ -38,17 +38,34 @@ def buckets_for(rows: DataFrame) -> int:
 
 
 class DigestIndex:
-    """Digests seen so far, at ``path`` (a folder in shared storage), in ``buckets`` buckets.
+    """Digests seen so far, at ``path`` (a folder in shared storage), in buckets by digest.
 
-    The table can be opened again by path in a later session.
+    The index says in how many: opened again, in a later session, it has those of its
+    files, and another number is an error. ``close`` takes the table out of the session's catalog; the files stay.
     """
 
     COLUMNS = "sha BINARY, doc_id BIGINT, seq BIGINT, batch STRING"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = MIN_BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        known = self._known()
+        if known and buckets and known != buckets:
+            raise ValueError(f"the index at {path} has {known} buckets, not {buckets}")
+        self.buckets = known or buckets or MIN_BUCKETS
+        if not known:
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_layout")
         self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.table} ({self.COLUMNS}) USING parquet CLUSTERED BY (sha) SORTED BY (sha) INTO {buckets} BUCKETS LOCATION '{path}'")
+        spark.sql(f"CREATE TABLE {self.table} ({self.COLUMNS}) USING parquet CLUSTERED BY (sha) SORTED BY (sha) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+
+    def _known(self) -> int | None:
+        """The number of buckets that an index at ``path`` was made with; None where there is none."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_layout/_SUCCESS")
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return None
+        return self.spark.read.parquet(f"{self.path}/_layout").first()[0]
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -76,10 +93,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     """
     spark = docs.sparkSession
     rows = written(digests(docs), "digested")
-    index = index or DigestIndex(spark, scratch(spark, "digests"), buckets_for(rows))
-    index.add(rows, batch)
+    own = index or DigestIndex(spark, scratch(spark, "digests"), buckets_for(rows))
+    own.add(rows, batch)
     sizes = rows.groupBy("sha").agg(F.count("*").alias("group_size"))
-    known = written(index.read().select("sha", F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), "batch").join(sizes, "sha"), "keepers")
+    known = written(own.read().select("sha", F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), "batch").join(sizes, "sha"), "keepers")
+    if index is None:
+        own.close()
     return rows.join(known, "sha").select(
         "doc_id", "keep_id", "group_size",
         ((F.col("batch") == batch) & (F.col("seq") == F.col("keep_seq"))).alias("kept"),
@@ -94,7 +113,7 @@ def stage(docs: DataFrame) -> DataFrame:
     """
     seq, sha = unused(docs, "seq"), unused(docs, "sha")
     best = docs.select(F.unhex(F.sha2(normalised(F.col("text")), 256)).alias(sha), F.col("doc_id"), place(docs).alias(seq))
-    drop = written(_dropped(best, sha, seq), "dropped")
+    drop = _dropped(best, sha, seq)
     return docs.withColumn(seq, place(docs)).join(drop, seq, "left_anti").select(docs.columns)
 
 
@@ -104,4 +123,6 @@ def _dropped(rows: DataFrame, sha: str, seq: str) -> DataFrame:
     index = DigestIndex(spark, scratch(spark, "digests"), buckets_for(rows))
     index.add(rows, "0")
     keep = index.read().select("seq")
-    return rows.select("seq").join(keep, "seq", "left_anti").select(F.col("seq").alias(seq))
+    drop = written(rows.select("seq").join(keep, "seq", "left_anti").select(F.col("seq").alias(seq)), "dropped")
+    index.close()
+    return drop
