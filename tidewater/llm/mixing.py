@@ -79,7 +79,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             take[i] += n
             left[i] -= n
             rest -= n * int(lengths[i])
-    limit = rest + int(lengths.max())
+    if rest > DP_WORDS:
+        return take + _few(lengths, left, rest)
+    # nothing taken is off by rest: what is off by more needs no looking at
+    limit = 2 * rest
     mask = (1 << (limit + 1)) - 1
     items = []
     for i in np.flatnonzero((left > 0) & (lengths > 0) & (lengths <= limit)):
@@ -103,6 +106,23 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def _few(lengths: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
+    """What to take where every length that is left is over half of ``rest``, so that two documents are over it already or nearly so.
+
+    The best is none, the document nearest to ``rest``, or the two least ones.
+    """
+    take, open_ = np.zeros(len(lengths), np.int64), np.flatnonzero((left > 0) & (lengths > 0))
+    if not len(open_):
+        return take
+    one = open_[np.abs(lengths[open_] - rest).argmin()]
+    least = open_[lengths[open_].argsort(kind="stable")][:2]
+    two = [least[0]] * 2 if left[least[0]] > 1 else [*least] if len(least) == 2 else []
+    options = [[], [one]] + ([two] if two else [])
+    for i in min(options, key=lambda x: abs(int(lengths[x].sum()) - rest) if len(x) else rest):
+        take[i] += 1
+    return take
+
+
 def _order(source: Column) -> list[Column]:
     return [source.isNull(), F.encode(source, "UTF-8")]
 
@@ -133,7 +153,8 @@ def mixture(docs: DataFrame, size: str, source: str, doc: str, seed: int = SEED)
     chosen = chosen.select(F.col("source").alias(s), F.col("size").alias(g), F.col("n").alias("tw_n"), F.col("take").alias("tw_take"))
     seq, draw, block = "tw_seq", "tw_draw", "tw_block"
     base = docs.select("*", F.xxhash64(F.lit(seed), F.col(doc), F.col(seq)).alias(draw))
-    base = base.join(chosen, base[source].eqNullSafe(chosen[s]) & (base[size] == chosen[g]))
+    # lengths grow with the sources: never broadcast
+    base = base.join(chosen.hint("merge"), base[source].eqNullSafe(chosen[s]) & (base[size] == chosen[g]))
     # a length that all or none of the documents are taken of needs no order
     whole = (F.col("tw_take") == 0) | (F.col("tw_take") == F.col("tw_n"))
     part = base.where(~whole).withColumn(block, F.pmod(F.col(draw), F.ceil(F.col("tw_n") / BLOCK)))
