@@ -109,10 +109,33 @@ def test_pii_rare_terms(spark, tmp_path):
     texts += ["Abendrot Vertrag an a.b@mail.example.com"] * 3
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
     found = {r["doc_id"]: r for r in got(pii.sanitise(spark.read.parquet(str(tmp_path / "t")), with_text=True))}
-    assert [found[i]["clean_text"] for i in (300, 301)] == ["[TERM] Bericht Herbst an [EMAIL]", "[TERM] Bericht Winter an [EMAIL]"]
+    assert [found[i]["clean_text"] for i in (300, 301)] == ["M* Bericht Herbst an [EMAIL]", "M* Bericht Winter an [EMAIL]"]
     assert all(found[i]["n_terms"] == 0 for i in (302, 303, 304))
 
 
+def test_pii_scan(spark):
+    """Sums and maxima of what stands before, over arrays of any length."""
+    for n in (0, 1, 127, 128, 129, 1000):
+        v = [(7 * i) % 31 for i in range(n)]
+        r = spark.createDataFrame([(v,)], "v array<int>").select(pii._scan(F.col("v"), pii._plus).alias("a"), pii._scan(F.col("v"), pii._most).alias("b")).first()
+        assert r["a"] == [sum(v[:i]) for i in range(n)] and r["b"] == [max(v[:i], default=0) for i in range(n)]
+
+
+def test_pii_many_matches(spark, tmp_path):
+    """Thousands of matches in one text, overlapping ones too, with all spans where they are and a text cleaned of each."""
+    rng = random.Random(31)
+    kinds = ["a.b@c.de", "10.0.0.1", "+49 30 1234567", "4111 1111 1111 1111", "+4111 1111 1111 1111", "1.2.3.4@x.org", "\U0001f600"]
+    text = " ".join(rng.choice([*kinds, sentence(rng, 3)]) for _ in range(6000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    r = got(pii.sanitise(spark.read.parquet(str(tmp_path / "t")), with_text=True))[0]
+    want, clean, at = spans_of(text), "", 0
+    assert len(want) > 3000 and r["base_sha256"] == hashlib.sha256(printed(want).encode()).hexdigest()
+    assert r["n_terms"] == 0
+    for s, k, e in want:
+        clean, at = clean + text[at : max(at, s)] + (("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")[k] if s >= at else ""), max(at, e)
+    assert r["clean_text"] == clean + text[at:]
+
+
 def test_pii_long_runs(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 60000 + " " + "1" * 60000 + " x@y.z" + "@q.w_r@s.t")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
     r = got(pii.with_base(spark.read.parquet(str(tmp_path / "t"))))[0]
@@ -452,7 +475,12 @@ def test_digest_index_persists(docs, spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, path, buckets=4)
     first = exact_dedup.exact_dedup(docs.where("doc_id < 20"), index, "one")
     n = first.where("kept").count()
-    again = exact_dedup.DigestIndex(spark, path, buckets=4)  # a later session
+    index.close()
+    assert not spark.catalog.tableExists(index.table)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, buckets=8)
+    again = exact_dedup.DigestIndex(spark, path)  # a later session, which need not know the number
+    assert again.buckets == 4
     assert again.read().count() == n
     assert len(list((tmp_path / "index").glob("*.parquet"))) <= 4  # a file a bucket
     second = got(exact_dedup.exact_dedup(docs, again, "two"))
@@ -538,10 +566,33 @@ def test_fit_is_best():
         for n, c in zip(lengths, counts, strict=True):
             sums = {s + n * k for s in sums for k in range(c + 1)}
         assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+    for _ in range(40):  # lengths over half of what is left to fit
+        lengths = np.unique(rng.integers(70_000, 300_000, 4))
+        counts = rng.integers(1, 3, len(lengths))
+        budget = int(rng.integers(66_000, 400_000))
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        take = mixing.fit(lengths, counts, budget)
+        assert abs(int((take * lengths).sum()) - budget) <= min(abs(s - budget) for s in sums) + mixing.DP_WORDS
+    assert mixing._few(np.array([90, 100, 130]), np.array([1, 1, 1]), 120).tolist() == [0, 0, 1]
+    assert mixing._few(np.array([90, 100]), np.array([2, 1]), 175).tolist() == [2, 0]
     take = mixing.fit(np.array([7, 11, 300]), np.array([10**6, 10**6, 10**5]), 12_345_678)
     assert (take * np.array([7, 11, 300])).sum() == 12_345_678
 
 
+def test_fit_beside_a_long_text():
+    """The program's size follows the budget that is left, not the longest text."""
+    import tracemalloc
+
+    lengths = np.concatenate([np.arange(1, 3000), [2_000_000, 50_000_000]])
+    tracemalloc.start()
+    take = mixing.fit(lengths, np.full(len(lengths), 3), 1_234_567)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (take * lengths).sum() == 1_234_567 and peak < 200 << 20
+
+
 def test_quality(docs, empty):
     want = Counter()
     for r in hard_rows():
