@@ -4,9 +4,9 @@ A text is the sequence of its five-word shingles, labelled by occurrence. For
 each of ``BANDS`` hash functions the sketch takes the ``TAKEN`` shingles with
 the least hashes and retains their order in the text; two texts share a band
 only if they share those shingles in that order, so the sketch follows edit
-similarity, not the bag. Texts that share a band are candidates: each is paired
-with one of the band; where that leaves several components, all pairs across them are
-compared, large bands in blocks from which only links come (``links``). Candidates are verified by alignment: of the
+similarity, not the bag. Texts that share a band are candidates: a small band
+gives all its pairs, in a large one all are paired with one, and where that leaves several components all pairs across them are
+compared in blocks from which only links come (``links``). Candidates are verified by alignment: of the
 shingles that both have, the longest chain in the order of both, within the band
 of diagonals that similarity ``SIMILAR`` leaves, gives
 
@@ -43,10 +43,10 @@ SHORT, SHORT_BANDS = 24, 16
 AGREE = 14
 #: Members of a star that are verified together.
 STAR = 256
-#: Buckets of so many members at most give pairs; larger ones are worked out in blocks.
-FEW = 64
-#: Members of a block, and shingles of all its members.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+#: Buckets of so many members at most give all their pairs; larger ones have a hub, and are worked out in blocks.
+FEW = 16
+#: Members of a block, whose shared shingles are a matrix of 16 MB, and shingles of all its members.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 #: Shingles that an incidence matrix has columns for.
 COLUMNS = 4096
 #: Counts by which shingles are ordered.
@@ -125,9 +125,8 @@ def _agree(a: str, b: str) -> Column:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b, similarity), a < b, whose components are those of all pairs that share a bucket.
 
-    1. A hub of every bucket is paired with all others of it.
-    2. Buckets that hold several components then: one of up to FEW members gives
-       its pairs across components, FEW for each member at most. A larger one is dealt to
+    1. A bucket of up to FEW members gives all its pairs, in larger ones a hub is paired with all others.
+    2. Larger buckets that hold several components then are dealt to
        blocks; a task compares all of a block and only a forest of links leaves it (``forest``).
     3. Where several blocks of a bucket still hold several components, their members meet
        by rare shingles (``_rare``), which every two texts that similar share.
@@ -142,34 +141,36 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     if rows.isEmpty():
         return nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity"))
     needed = rows.select("node").distinct().join(nodes.select("node", "row"), "node")
-    texts = written(docs.select(place(docs).alias("row"), "text").join(written(needed, "needed"), "row").select("node", "text"), "texts")
+    texts = written(docs.select(place(docs).alias("row"), "text").join(needed, "row").select("node", "text"), "texts")
     release(spark)
+    pairs = _within(rows.where(F.col("c") <= FEW).select("bucket", "node").join(own, "node")).select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(FEW).cast("long").alias("c"))
+    many = rows.where(F.col("c") > FEW)
+    fresh = many.where("hub < node").groupBy("hub", "node").agg(F.max("c").alias("c"))
+    fresh = fresh.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "c")
     # a bucket's members are verified in groups of about STAR; a node in several follows the largest
-    fresh = rows.where("hub < node").groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
-    good = written(fresh.join(own, "node").join(hubs, "hub").where(passes).select("hub", "node", "cut"), "candidates")
-    found = [verified(texts, good)]
-    # two members are their hub's pair: that one is tested
-    roots = components(found[0])
-    rooted = rows.where("c > 2").select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted.join(own.select("node", "n"), "node"), "rooted")
-    mixed = _mixed(rooted, "bucket")
-    left = written(rooted.join(mixed, "bucket"), "left")
-    few = left.where(F.col("c") <= FEW)
-    pairs = _across(few.select("bucket", "node", "root").join(own, "node")).distinct().join(good.select(F.col("hub").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
-    pairs = written(pairs.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(0).cast("long").alias("cut")), "pairs")
-    found.append(verified(texts, pairs))
-    many = left.where(F.col("c") > FEW).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    found.append(_dealt(many.select(F.col("bucket").alias("group"), "i", F.col("i").alias("j"), F.col("i").alias("side"), "node", "root"), texts))
+    good = pairs.unionByName(fresh).groupBy("hub", "node").agg(F.pmod(F.xxhash64("node"), F.ceil(F.max("c") / STAR)).alias("cut"))
+    found = [verified(texts, written(good, "candidates"))]
+    if many.isEmpty():
+        return found[0]
+    many = many.select("bucket", "node").join(own.select("node", "n"), "node")
+    rooted, mixed = _rooted(many, found)
+    dealt = rooted.join(mixed, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    found.append(_dealt(dealt.select(F.col("bucket").alias("group"), "i", F.col("i").alias("j"), F.col("i").alias("side"), "node", "root"), texts))
     release(spark)
-    several = many.where("blocks > 1").select("bucket", "node", "n")
+    several = mixed.where("blocks > 1").select("bucket")
     if not several.isEmpty():
-        roots = components(_together(found))
-        rooted = written(several.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-        rest = written(rooted.join(_mixed(rooted, "bucket").select("bucket"), "bucket").select("node", "root").distinct(), "rest")
-        found.append(_rare(rest, texts))
+        rooted, mixed = _rooted(many.join(several, "bucket"), found)
+        found.append(_rare(written(rooted.join(mixed.select("bucket"), "bucket").select("node", "root").distinct(), "rest"), texts))
     return _together(found)
 
 
+def _rooted(rows: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (bucket, node, n) with the root of each node's component so far, and ``_mixed`` of them."""
+    roots = components(_together(found))
+    rooted = written(rows.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    return rooted, _mixed(rooted, "bucket")
+
+
 def _mixed(rows: DataFrame, group: str) -> DataFrame:
     """(group, c, blocks) of the groups of ``rows`` (group, node, root, n) that hold several components; of those with the same members one stays."""
     kinds = rows.groupBy(group).agg(
@@ -180,24 +181,31 @@ def _mixed(rows: DataFrame, group: str) -> DataFrame:
     return written(kinds.where("lo <> hi").groupBy("c", "all_", "x1", "x2").agg(F.min(group).alias(group)).select(group, "c", blocks.alias("blocks")), "mixed")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in a bucket that minima and lengths don't rule out; ``rows`` has bucket, node, root, n, minima."""
+def _within(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of a bucket that minima and lengths don't rule out; ``rows`` has bucket, node, n, minima."""
 
     def pairs(group):
-        node, root, n = (np.array(c) for c in zip(*(g[:3] for g in group), strict=True))
-        minima = np.frombuffer(b"".join(g[3] for g in group), np.uint16).reshape(len(group), BANDS)
+        node, n = (np.array(c) for c in zip(*(g[:2] for g in group), strict=True))
+        minima = np.frombuffer(b"".join(g[2] for g in group), np.uint16).reshape(len(group), BANDS)
         u, v = np.triu_indices(len(group), 1)
-        far = root[u] != root[v]
-        u, v = u[far], v[far]
         ok = (np.minimum(n[u], n[v]) >= SIMILAR * np.maximum(n[u], n[v])) & ((minima[u] == minima[v]).sum(axis=1) >= AGREE)
         u, v = node[u[ok]], node[v[ok]]
         return np.minimum(u, v), np.maximum(u, v)
 
     def scan(batches):
-        for group in _groups(batches, ("bucket",), ("node", "root", "n", "minima")):
-            a, b = pairs(group[1])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        out, size = [], 0
+        for _, group in _groups(batches, ("bucket",), ("node", "n", "minima")):
+            if len(group) > 1:
+                out.append(pairs(group))
+                size += len(out[-1][0])
+            if size > 4096:
+                yield batch(out)
+                out, size = [], 0
+        if size:
+            yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "a long, b long")
 
