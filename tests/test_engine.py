@@ -101,6 +101,75 @@ def test_band_join(spark):
     assert len(rows(e.sql("SELECT lv, rv FROM l RIGHT JOIN r ON lv < rv WITHIN (INTERVAL 10 SECOND);"))) == 5
 
 
+def test_over_interval(spark):
+    """A hot key's rows are in windows of a bucket, with what a window of the key alone gives; rows without a time see one another."""
+    from pyspark.sql import Window
+
+    from tidewater.operators import joins
+
+    df = spark.createDataFrame([(i % 3, at(i * i % 97), i) for i in range(60)] + [(0, None, 60), (0, None, 61)], "k int, ts timestamp, v int")
+    w = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-10_000_000, 0)
+    want = df.withColumns({"n": F.count("*").over(w), "s": F.sum("v").over(w)})
+    assert rows(joins.as_of(df, 10_000_000, ["k"], "ts", {"n": F.count("*"), "s": F.sum("v")})) == rows(want)
+
+
+def test_lookup(spark):
+    """The last change up to each row's time, over any number of buckets; a change at the same time counts."""
+    from tidewater.operators import joins
+
+    clicks = spark.createDataFrame([("a", at(s), s) for s in (0, 5, 10, 99, 500)] + [("b", at(7), 7), (None, at(7), 8), ("a", None, 9)], "k string, t timestamp, v int")
+    table = spark.createDataFrame([("a", at(5), "x"), ("a", at(6), "y"), ("a", at(98), None), ("b", at(8), "z"), ("a", None, "lost")], "k string, u timestamp, w string")
+    for bucket in (1_000_000, 10_000_000, 10**12):
+        assert rows(joins.lookup(clicks, table, ["k"], "t", "u", bucket).select("v", "w")) == [(10, "y"), (5, "x"), (500, None), (99, None)]
+
+
+def test_timed_changelog(spark, clicks):
+    log = changelog.for_interval(clicks.select("k", "ts"), "ts", F.expr("INTERVAL 10 SECONDS")).drop("ts")
+    t = lambda s: F.lit(at(s))
+    assert rows(changelog.advance(log, t(9))) == [("a", 2)] and rows(changelog.advance(log, t(10))) == [("a", 2)] and rows(changelog.advance(log, t(20))) == []
+    assert rows(changelog.between(log, t(10), t(20))) == [("a", -2)]
+    assert rows(changelog.advance(changelog.for_window(clicks.select("k", "ts"), "ts", "10 seconds").drop("ts"), t(12)).select("k", "_diff")) == [("a", 1)]
+
+
+def test_stream_full_join_and_sliding(spark, tmp_path):
+    """Rows come in two batches; padded rows come when the watermark has passed."""
+    e = Engine(spark, lateness="0 seconds")
+    for n in "lr":
+        e.execute(f"CREATE STREAM {n} ({n}v INTEGER, {n}k STRING);")
+    put = lambda n, *v: e.append(n, spark.createDataFrame([(x, "a", at(x)) for x in v], f"{n}v long, {n}k string, _ts timestamp"))
+    put("l", 0, 12, 50)
+    put("r", 5, 99)
+    q = e.execute("SELECT lv, rv FROM l FULL JOIN r ON lv < rv WITHIN (INTERVAL 10 SECOND) EMIT CHANGES;")
+    s = e.execute("SELECT SUM(lv) AS s, COUNT(*) AS n FROM SLIDING(l, INTERVAL 12 SECOND) GROUP BY lk EMIT CHANGES;")
+    e.wait(q)
+    put("l", 300)
+    put("r", 300)
+    e.refresh(q)
+    e.refresh(s)
+    assert rows(e.changes(q)) == [(0, 5), (12, None), (50, None), (None, 99)]
+    assert rows(e.changes(s).select("s", "n")) == [(0, 1), (12, 2), (300, 1), (50, 1)]
+
+
+def test_shards_and_compression(engine, spark):
+    engine.execute("CREATE STREAM s (a INTEGER);")
+    for how in (None, "none", "gzip", "zstd"):
+        engine.append("s", spark.range(25).select(F.col("id").alias("a")), how)
+    with pytest.raises(RunError):
+        engine.append("s", spark.range(1).select(F.col("id").alias("a")), "lzh")
+    parts = [rows(engine.read_shard("s", i, 3, ["a"]).select("a")) for i in range(3)]
+    assert sorted(x for p in parts for x in p) == sorted((i,) for i in range(25) for _ in range(4)) and all(parts)
+    with pytest.raises(RunError):
+        engine.read_shard("s", 3, 3, ["a"])
+
+
+def test_free_fields_are_noted(engine, spark):
+    engine.execute("CREATE STREAM free;")
+    engine.append("free", spark.createDataFrame([(1,)], "a long"))
+    engine.append("free", spark.createDataFrame([(1.5, "x")], "a double, b string"))
+    assert engine._exists(f"{engine.catalog.get('STREAM', 'free').path}/_schema")
+    assert rows(engine.sql("SELECT a, b FROM free;")) == [(1.0, None), (1.5, "x")]
+
+
 def test_push_and_chain(engine):
     engine.execute("CREATE STREAM s4 (a INTEGER, b INTEGER);")
     for _ in range(4):

@@ -1,4 +1,5 @@
 import io
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,25 +8,38 @@ from tidewater import shell
 from tidewater.errors import ParseError
 from tidewater.sources.metrics import admin
 from tidewater.streaming.dsl import stream
+from tidewater.streaming import subscription
 from tidewater.streaming.engine import Engine
 from tidewater.streaming.subscription import Subscription
 
 
-def test_subscription(spark):
+def test_subscription(spark, monkeypatch):
     e = Engine(spark)
     e.execute("CREATE STREAM s (a INTEGER);")
     e.execute("INSERT INTO s (a) VALUES (1);")
-    sub = Subscription(e, "one", "s", timeout=1000)
+    before = time.time()
+    sub = Subscription(e, "one", "s", timeout=2)
     ids, df = sub.fetch()
     assert [r.a for r in df.collect()] == [1] and sub.fetch() == ([], None)
-    again = Subscription(e, "one", "s")  # the first reader is lost
+    again = Subscription(e, "one", "s", timeout=1000)
+    if time.time() - before < 1.5:
+        assert again.fetch() == ([], None)  # it is out
+    time.sleep(2.1)  # the first consumer is lost
     ids, df = again.fetch()
     assert len(ids) == 1
     again.ack(ids)
+    assert again._names("leases") == [] and again._names("acked") == ids
     e.execute("INSERT INTO s (a) VALUES (2);")
     ids, df = Subscription(e, "one", "s").fetch()
     assert [r.a for r in df.collect()] == [2]
+    monkeypatch.setattr(subscription, "SKEW", -1000)
+    again.ack(ids)
+    assert again._names("acked") == [] and len(again._names("low")) == 1  # folded
+    assert again.fetch() == ([], None)
+    e.execute("INSERT INTO s (a) VALUES (3);")
+    assert [r.a for r in again.fetch()[1].collect()] == [3]
     assert Subscription(e, "late", "s", from_latest=True).fetch() == ([], None)
+    assert {r["name"]: r["throughput_15min"] > 0 for r in admin(e, "SELECT * FROM subscription_throughput").collect()} == {"one": True}
 
 
 def test_shell_and_admin(spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIFF = "_diff"
+DIFF, TIME = "_diff", "_time"
 
 
 def changes(df: DataFrame, diff: int = 1) -> DataFrame:
@@ -56,6 +56,34 @@ def difference(new: DataFrame, old: DataFrame) -> DataFrame:
     return consolidate(new.unionByName(negate(old)))
 
 
+def expiring(df: DataFrame, ts: str, until: Column) -> DataFrame:
+    """A changelog in time: each row comes at ``ts`` and is taken back at ``until``."""
+    at = F.explode(F.array(F.struct(F.col(ts).alias("t"), F.lit(1).cast("long").alias("d")), F.struct(until.alias("t"), F.lit(-1).cast("long").alias("d"))))
+    return df.withColumn(DIFF, at).withColumns({TIME: F.col(f"{DIFF}.t"), DIFF: F.col(f"{DIFF}.d")})
+
+
+def for_interval(df: DataFrame, ts: str, interval: Column) -> DataFrame:
+    """Each row counts from its time on, for ``interval``."""
+    return expiring(df, ts, F.col(ts) + interval)
+
+
+def for_window(df: DataFrame, ts: str, size: str, step: str | None = None) -> DataFrame:
+    """Each row counts in each of its windows (column window_start) from its time to the window's end."""
+    windowed = df.withColumn("window_", F.window(ts, size, step))
+    windowed = windowed.withColumns({"window_start": F.col("window_.start"), "until_": F.col("window_.end")}).drop("window_")
+    return expiring(windowed, ts, F.col("until_")).drop("until_")
+
+
+def advance(log: DataFrame, frontier: Column) -> DataFrame:
+    """The state when the frontier has come to a time: what changes up to it add up to."""
+    return consolidate(log.where(F.col(TIME) <= frontier).drop(TIME))
+
+
+def between(log: DataFrame, after: Column, frontier: Column) -> DataFrame:
+    """The changes of the state while the frontier moves from one time to another."""
+    return consolidate(log.where((F.col(TIME) > after) & (F.col(TIME) <= frontier)).drop(TIME))
+
+
 def iterate(seed: DataFrame, step: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 10_000) -> DataFrame:
     """The least set that holds ``seed`` and is closed under ``step``, semi-naively: only new rows are stepped.
 

@@ -18,6 +18,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def _seconds(us: int) -> Column:
+    """A literal interval: Spark reads the state's limits off literals only."""
+    return F.expr(f"INTERVAL '{us // 1_000_000}.{us % 1_000_000:06d}' SECOND")
+
+
 def band(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on: Column | None, how: str, before_us: int, after_us: int, streaming: bool = False) -> DataFrame:
     """Join where ``left_ts - before <= right_ts <= left_ts + after`` and ``on``; column names must not clash.
 
@@ -28,7 +33,7 @@ def band(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on: Col
     near = (micros(F.col(right_ts)) >= micros(F.col(left_ts)) - before_us) & (micros(F.col(right_ts)) <= micros(F.col(left_ts)) + after_us)
     if streaming:
         # state can only be dropped by a range of the event times themselves
-        near &= (F.col(right_ts) >= F.col(left_ts) - F.make_dt_interval(secs=F.lit(before_us / 1e6).cast("decimal(18,6)"))) & (F.col(right_ts) <= F.col(left_ts) + F.make_dt_interval(secs=F.lit(after_us / 1e6).cast("decimal(18,6)")))
+        near &= (F.col(right_ts) >= F.col(left_ts) - _seconds(before_us)) & (F.col(right_ts) <= F.col(left_ts) + _seconds(after_us))
     own = lambda ts: F.floor(micros(F.col(ts)) / width).cast("long")
     # a row without a time is in no band but must survive an outer join
     spread = lambda ts: F.explode_outer(F.when(F.col(ts).isNotNull(), F.array(*[own(ts) + d for d in (-1, 0, 1)])))
@@ -45,7 +50,10 @@ def band(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on: Col
     b = right.withColumn(rb, spread(right_ts))
     matched = a.join(b, condition, "left").drop(lb, rb)
     a2, b2 = left.withColumn(lb, spread(left_ts)), right.withColumn(rb, own(right_ts))
-    alone = b2.join(a2, condition, "left_anti").drop(rb)
+    if streaming:  # no anti-join of streams: an outer one, of which the padded rows are kept
+        alone = a2.join(b2, condition, "right").where(F.col(lb).isNull()).drop(lb, rb)
+    else:
+        alone = b2.join(a2, condition, "left_anti").drop(rb)
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
@@ -55,7 +63,76 @@ def latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("row_")).select(*keys, *[F.col("row_")[c].alias(c) for c in rest])
 
 
+def over_interval(df: DataFrame, keys: list[str | Column], ts: str, within_us: int, aggregates: dict[str, Column]) -> DataFrame:
+    """Each row with aggregates over the rows of its keys in the ``within_us`` before it, itself and ties included.
+
+    Time is cut into buckets of that length and each row is also in the next one, for others to see. A
+    window is then of a key and a bucket, so that a hot key is split over time. Rows without a time see one another.
+    """
+    at, mine, width = "interval_bucket_", "interval_own_", max(within_us, 1)
+    own = F.floor(micros(F.col(ts)) / width).cast("long")
+    place = lambda b, is_own: F.struct(b.alias("b"), F.lit(is_own).alias("own"))
+    copies = F.when(F.col(ts).isNull(), F.array(place(F.lit(None).cast("long"), True))).otherwise(F.array(place(own, True), place(own + 1, False)))
+    dealt = df.withColumn(at, F.explode(copies)).withColumns({mine: F.col(f"{at}.own"), at: F.col(f"{at}.b")})
+    w = Window.partitionBy(*keys, at).orderBy(micros(F.col(ts))).rangeBetween(-within_us, 0)
+    return dealt.withColumns({k: v.over(w) for k, v in aggregates.items()}).where(mine).drop(at, mine)
+
+
 def as_of(df: DataFrame, within_us: int, keys: list[str], ts: str, aggregates: dict[str, Column]) -> DataFrame:
-    """Each row with aggregates over the rows of its keys in the ``within_us`` before it, itself and ties included."""
-    w = Window.partitionBy(*keys).orderBy(micros(F.col(ts))).rangeBetween(-within_us, 0)
-    return df.withColumns({k: v.over(w) for k, v in aggregates.items()})
+    """``over_interval`` by names of columns."""
+    return over_interval(df, keys, ts, within_us, aggregates)
+
+
+def lookup(rows: DataFrame, changes: DataFrame, keys: list[str], ts: str, changes_ts: str, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Each row with the last of the ``changes`` of its keys up to its time: a table's row as it was known then. Rows without one are left out.
+
+    Time is cut into buckets. Within a bucket a window finds the last change; what
+    a bucket begins with is the last change of the buckets before, of which each has one.
+    Column names but the keys must differ.
+    """
+    value, before, at, kind = "lookup_value_", "lookup_before_", "lookup_bucket_", "lookup_row_"
+    bucket = lambda t: F.floor(micros(F.col(t)) / bucket_us).cast("long")
+    packed = F.struct(*[F.col(c) for c in changes.columns if c not in keys])
+    new = changes.where(F.col(changes_ts).isNotNull()).select(*keys, bucket(changes_ts).alias(at), micros(F.col(changes_ts)).alias("t_"), packed.alias(value))
+    old = rows.where(F.col(ts).isNotNull()).select(*keys, bucket(ts).alias(at), micros(F.col(ts)).alias("t_"), F.struct(*[F.col(c) for c in rows.columns if c not in keys]).alias(kind))
+    per = new.groupBy(*keys, at).agg(F.max_by(value, F.struct("t_", value)).alias(value))
+    slots = per.unionByName(old.select(*keys, at).distinct(), allowMissingColumns=True).groupBy(*keys, at).agg(F.first(value, ignorenulls=True).alias(value))
+    earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*keys, at, F.last(value, ignorenulls=True).over(earlier).alias(before))
+    both = old.unionByName(new, allowMissingColumns=True)
+    # of equal times the change comes first; of equal changes the greatest last
+    inside = Window.partitionBy(*keys, at).orderBy("t_", F.col(kind).isNotNull(), value).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn(value, F.last(value, ignorenulls=True).over(inside)).where(F.col(kind).isNotNull())
+    known = both.join(slots, [*keys, at]).withColumn(value, F.coalesce(value, before)).where(F.col(value).isNotNull())
+    return known.select(*keys, f"{kind}.*", f"{value}.*")
+
+
+def streaming_lookup(rows: DataFrame, changes: DataFrame, keys: list[str], ts: str, changes_ts: str) -> DataFrame:
+    """``lookup`` for unbounded rows and changes: the last change of each key is state; a row sees the changes that have arrived by its batch and are not after it.
+
+    Output mode append. A row that comes before any change of its key is left out.
+    """
+    import pandas as pd
+
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    rest = lambda df: [c for c in df.columns if c not in keys]
+    packed = lambda df, t, row: df.select(*keys, micros(F.col(t)).alias("t_"), F.lit(row).alias("row_"), F.to_json(F.struct(*rest(df)), form).alias("json_"))
+    both = packed(rows, ts, True).unionByName(packed(changes, changes_ts, False))
+
+    def step(key, batches, state):
+        kept = list(state.get) if state.exists else [None, None]
+        found, all_ = [], pd.concat(list(batches)).sort_values(["t_", "row_", "json_"])
+        for t, row, text in zip(all_["t_"], all_["row_"], all_["json_"], strict=True):
+            if row:
+                if kept[0] is not None and kept[0] <= t:
+                    found.append((*key, text, kept[1]))
+            elif kept[0] is None or (t, text) >= tuple(kept):
+                kept = [int(t), text]
+        if kept[0] is not None:
+            state.update(tuple(kept))
+        yield pd.DataFrame(found, columns=[*keys, "row_", "value_"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    out = both.where("t_ is not null").groupBy(*keys).applyInPandasWithState(step, f"{kinds}, row_ string, value_ string", "t long, value string", "append", "NoTimeout")
+    parse = lambda c, df: F.from_json(c, df.select(*rest(df)).schema, form).alias(c)
+    return out.select(*keys, parse("row_", rows), parse("value_", changes)).select(*keys, "row_.*", "value_.*")

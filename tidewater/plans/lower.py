@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from tidewater.errors import BindError, PlanError
 from tidewater.functions import scalar
 from tidewater.functions.aggregates import aggregate
-from tidewater.operators.joins import band, micros
+from tidewater.functions.sliding import sliding_step
+from tidewater.operators.joins import band, micros, over_interval
 from tidewater.plans.parser import Expr, Select, Source
 from tidewater.plans.validate import select as validate
 
@@ -136,8 +137,6 @@ class Lowering:
             if a.ts is None or b.ts is None:
                 raise BindError("WITHIN needs an event time on both sides")
             us = s.within_ms * 1000
-            if self.streaming and how == "full":
-                raise PlanError("a full join of two streams within a band can't be planned")
             df = band(a.df, b.df, a.ts, b.ts, on, how, us, us, self.streaming)
         elif on is None:
             df = a.df.crossJoin(b.df)
@@ -330,9 +329,9 @@ class Lowering:
         tree = indent(head)
         if kind == "SLIDING":
             if self.streaming:
-                raise PlanError("SLIDING runs in batch only; use HOP on a stream")
-            w = Window.partitionBy(*own).orderBy(micros(F.col(r.ts))).rangeBetween(-sizes[0] * 1000, 0)
-            df = r.df.withColumns({swap[p]: c.over(w) for p, c in build.items()})
+                df = self._sliding(r, [f.own for f in keys], found, build, swap, sizes[0])
+            else:
+                df = over_interval(r.df, own, r.ts, sizes[0] * 1000, {swap[p]: c for p, c in build.items()})
             df = df.withColumns({"window_start": F.col(r.ts) - F.make_dt_interval(secs=F.lit(sizes[0] / 1000).cast("decimal(18,6)")), "window_end": F.col(r.ts)})
         else:
             if kind == "TUMBLE":
@@ -359,9 +358,24 @@ class Lowering:
         df, _, tree = self._project(q, out, swap, lambda h: [h, *["  " + x for x in out.tree]], extra)
         return df, ("window_end" if kind and "window_end" in df.columns else None), tree
 
+    def _sliding(self, r: Relation, own: list[str], found, build, swap, size_ms: int) -> DataFrame:
+        """SLIDING over a stream: each row once, with the aggregates over what has arrived of its interval. The rows of an interval and the lateness are state."""
+        if self.compat:
+            raise PlanError("SLIDING over a stream has standard aggregates only")
+        names = [f"k{i}" for i in range(len(own))] or ["k0"]
+        keyed = r.df.select(*[c.alias(n) for c, n in zip([F.col(o) for o in own] or [F.lit(0)], names, strict=True)], micros(F.col(r.ts)).alias("t"), F.col(r.ts).alias("at"), *[(self.expr(x.args[0], r)[0] if x.args else F.lit(1)).alias(f"x{i}") for i, x in enumerate(found.values())])
+        calls = [(x.value, x.args[1].value if x.value.startswith("TOPK") else 0, keyed.schema[f"x{i}"].dataType) for i, x in enumerate(found.values())]
+        values = [F.col(f"x{i}").cast("string").alias(f"x{i}") for i in range(len(calls))]
+        results = r.df.groupBy().agg(*[build[p].alias(swap[p]) for p in found]).schema
+        kinds = [*[f"`{n}` {keyed.schema[n].dataType.simpleString()}" for n in names], "t long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in results]]
+        step = sliding_step(calls, size_ms * 1000, [*names, "t", *results.names])
+        # the event time goes along, as it has the watermark
+        out = keyed.select(*names, "t", "at", *values).where("t is not null").groupBy(*names).applyInPandasWithState(step, ", ".join(kinds), "rows binary", "update", "NoTimeout")
+        return out.select(*[F.col(n).alias(o) for n, o in zip(names, own, strict=False)], F.timestamp_micros("t").alias(r.ts), *results.names)
+
     def _grouped(self, r: Relation, own: list[Column], keys: list[Field], found, build, swap, kind: str) -> DataFrame:
         """Grouped aggregates. In batch a TOPK ranks first: Catalyst keeps k rows a group on each side of the shuffle, so no group is gathered."""
-        tops = [] if self.streaming or kind in ("SESSION", "HOP") else [p for p, x in found.items() if x.value.startswith("TOPK")]
+        tops = [] if self.streaming or kind == "SESSION" else [p for p, x in found.items() if x.value.startswith("TOPK")]
         rest = [build[p].alias(swap[p]) for p in found if p not in tops]
         out = r.df.groupBy(*own).agg(*rest, F.count(F.lit(1)).alias("n_")) if rest or not tops else None
         names = [*(["window_"] if kind else []), *[f.own for f in keys]]

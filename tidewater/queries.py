@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import changelog, joins
+from tidewater.streaming.dsl import Stream
 from tidewater.streaming.engine import Engine
 
 #: Tables and their event times, as streams of the engine.
@@ -167,6 +168,8 @@ add("session_count", "SELECT user_id, COUNT(*) AS cnt FROM SESSION(events, INTER
 add("sliding_sum", "SELECT event_type, SUM(event_id) AS s, COUNT(*) AS n FROM SLIDING(events, INTERVAL 1 HOUR) GROUP BY event_type;", "SELECT event_type, CAST(sum(event_id) OVER w AS BIGINT) AS s, count(*) OVER w AS n, ts - INTERVAL 1 HOUR AS window_start, ts AS window_end FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")
 add("window_topk", "SELECT event_type, ARRAY_JOIN(t) AS top, window_start, window_end FROM (SELECT event_type, TOPK(event_id, 2) AS t FROM TUMBLE(events, INTERVAL 6 HOUR) GROUP BY event_type);", f"SELECT event_type, {_listed("list_slice(list_sort(list(event_id), 'DESC'), 1, 2)")} AS top, w AS window_start, w + INTERVAL 6 HOUR AS window_end FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w FROM events) GROUP BY event_type, w")
 
+add("window_topk_hop", "SELECT event_type, ARRAY_JOIN(t) AS top, window_start, window_end FROM (SELECT event_type, TOPK(event_id, 2) AS t FROM HOP(events, INTERVAL 2 HOUR, INTERVAL 1 HOUR) GROUP BY event_type);", f"SELECT event_type, {_listed("list_slice(list_sort(list(event_id), 'DESC'), 1, 2)")} AS top, w AS window_start, w + INTERVAL 2 HOUR AS window_end FROM (SELECT event_type, event_id, unnest([time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')]) AS w FROM events) GROUP BY event_type, w")
+
 #: Queries through the frame API: name: (function, DuckDB SQL)
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -181,7 +184,7 @@ def latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream-table join: each event with its user's last event type so far known as a table."""
+    """Stream-table join: each event with its user's last event, as the table stands when all is read."""
     events = _table(spark, sf_dir, "events")
     last = joins.latest(events.select("user_id", "ts", "event_id"), ["user_id"], "ts").select("user_id", F.col("event_id").alias("last_id"))
     return events.select("event_id", "user_id").join(last, "user_id").select("event_id", "user_id", "last_id")
@@ -234,6 +237,129 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT event_type, cnt, s, window_start, window_end FROM counts;").select("event_type", "cnt", "s", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")])
 
 
+def _two_kinds(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clicks and purchases of users."""
+    pick = lambda kind, name, ts: df.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(ts))
+    return pick("click", "a", "ta"), pick("purchase", "b", "tb")
+
+
+def known_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with its user's last purchase before it."""
+    clicks, purchases = _two_kinds(_table(spark, sf_dir, "events"))
+    return joins.lookup(clicks, purchases, ["user_id"], "ta", "tb").select("a", "b")
+
+
+def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of two unbounded streams."""
+    e = _opened(spark, sf_dir, "events")
+    clicks, purchases = _two_kinds(e._open_stream("events")[0])
+    joined = Stream(clicks, "ta").join_changes(Stream(purchases, "tb"), ["user_id"])
+    joined.to("parquet", path=f"{e.root}/lookup", checkpointLocation=f"{e.root}/lookup-checkpoint").awaitTermination()
+    return spark.read.schema(joined.df.schema).parquet(f"{e.root}/lookup").select("a", "b")
+
+
+def valid_for_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events of each type count at a frontier, each being valid for six hours."""
+    log = changelog.for_interval(_table(spark, sf_dir, "events").select("event_type", "ts"), "ts", F.expr("INTERVAL 6 HOURS")).drop("ts")
+    return changelog.advance(log, F.lit(_FRONTIER).cast("timestamp_ntz")).select("event_type", F.col("_diff").alias("n"))
+
+
+def valid_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open hopping windows at a frontier: what has come, of windows that haven't ended."""
+    log = changelog.for_window(_table(spark, sf_dir, "events").select("event_type", "ts"), "ts", "2 days", "1 day").drop("ts")
+    return changelog.advance(log, F.lit(_FRONTIER).cast("timestamp_ntz")).select("event_type", "window_start", F.col("_diff").alias("n"))
+
+
+def frontier_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how much the counts change while the frontier moves by a day."""
+    log = changelog.for_interval(_table(spark, sf_dir, "events").select("event_type", "ts"), "ts", F.expr("INTERVAL 6 HOURS")).drop("ts")
+    to = F.lit(_FRONTIER).cast("timestamp_ntz")
+    return changelog.between(log, to - F.expr("INTERVAL 1 DAY"), to).select("event_type", F.col("_diff").alias("n"))
+
+
+_FRONTIER = "2024-01-15 12:00:00"
+
+
+def _opened(spark: SparkSession, sf_dir: str, *tables: str, lateness: str = "400 days") -> Engine:
+    e = Engine(spark, lateness=lateness)
+    for t in tables:
+        e.register(t, f"{sf_dir}/{t}.parquet", TABLES[t])
+    return e
+
+
+def _pushed(statement: str, columns: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """A continuous query, run until its input ends: what it has emitted."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = _opened(spark, sf_dir, *[t for t in TABLES if t in statement])
+        q = e.execute(statement)
+        e.wait(q)
+        return _plain(e.changes(q)).select(*columns)
+
+    return run
+
+
+def _viewed(statement: str, columns: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    """A continuous query into the view v, run until its input ends: the view."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = _opened(spark, sf_dir, *[t for t in TABLES if t in statement])
+        e.wait(e.execute(f"CREATE VIEW v AS {statement};"))
+        return _plain(e.sql("SELECT * FROM v;")).select(*columns)
+
+    return run
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.col(f"`{f.name}`").cast("timestamp_ntz") for f in df.schema if f.dataType.typeName() == "timestamp"})
+
+
+def _outer(how: str) -> Callable[[SparkSession, str], DataFrame]:
+    """An outer join of streams within six hours: the part that no later row can change."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = _opened(spark, sf_dir, "events", lateness="0 seconds")
+        q = e.execute(f"SELECT x.a AS a, y.b AS b, x.ts AS ta, y.ts AS tb FROM {_E1} AS x {how} JOIN {_E2} AS y ON x.u = y.v WITHIN (INTERVAL 6 HOUR) EMIT CHANGES;")
+        e.wait(q)
+        end = _table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp")).first()[0]
+        return e.changes(q).where(F.coalesce("ta", "tb") < F.lit(end) - F.expr("INTERVAL 12 HOURS")).select("a", "b")
+
+    return run
+
+
+def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived stream, and rows of it inserted into another, read from a time on."""
+    e = _opened(spark, sf_dir, "events")
+    e.wait(e.execute("CREATE STREAM large AS SELECT event_id, user_id, ts FROM events WHERE value > 50;"))
+    e.execute("CREATE STREAM kept (event_id INTEGER, user_id INTEGER, ts TIMESTAMP);")
+    e.wait(e.execute("INSERT INTO kept SELECT event_id, user_id, ts FROM large WHERE user_id > 10;"))
+    return e.sql(f"SELECT event_id, user_id FROM kept WHERE ts >= TIMESTAMP '{_FRONTIER.replace(' ', 'T')}+00:00';")
+
+
+def stream_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded read of a stream by time, both ends included, and by key."""
+    e = _opened(spark, sf_dir, "events")
+    return e.read_range("events", "2024-01-10 00:00:00", _FRONTIER, {"user_id": 7}).select("event_id", "event_type")
+
+
+_PURCHASES_BEFORE = "SELECT c.event_id AS a, p.event_id AS b FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts"
+_T = f"TIMESTAMP '{_FRONTIER}'"
+FRAMES["lookup_as_known"] = (known_lookup, _PURCHASES_BEFORE)
+FRAMES["stream_lookup_as_known"] = (stream_lookup, _PURCHASES_BEFORE)
+FRAMES["changelog_sliding"] = (valid_for_hours, f"SELECT event_type, count(*) AS n FROM events WHERE ts <= {_T} AND ts + INTERVAL 6 HOUR > {_T} GROUP BY 1")
+FRAMES["changelog_hopping"] = (valid_in_windows, f"SELECT event_type, w AS window_start, count(*) AS n FROM (SELECT event_type, ts, unnest([date_trunc('day', ts) - INTERVAL 1 DAY, date_trunc('day', ts)])::TIMESTAMP AS w FROM events) WHERE ts <= {_T} AND w + INTERVAL 2 DAY > {_T} GROUP BY 1, 2")
+FRAMES["changelog_frontier"] = (frontier_moves, f"WITH s AS (SELECT event_type, sum((ts <= {_T} AND ts + INTERVAL 6 HOUR > {_T})::INT) - sum((ts <= {_T} - INTERVAL 1 DAY AND ts + INTERVAL 6 HOUR > {_T} - INTERVAL 1 DAY)::INT) AS n FROM events GROUP BY 1) SELECT event_type, n::BIGINT AS n FROM s WHERE n <> 0")
+FRAMES["stream_sliding"] = (_pushed("SELECT event_type, SUM(event_id) AS s, COUNT(*) AS n FROM SLIDING(events, INTERVAL 1 HOUR) GROUP BY event_type EMIT CHANGES;", ["event_type", "s", "n", "window_start", "window_end"]), SQL["sliding_sum"][1])
+FRAMES["stream_hopping_view"] = (_viewed("SELECT event_type, COUNT(*) AS cnt FROM HOP(events, INTERVAL 2 HOUR, INTERVAL 30 MINUTE) GROUP BY event_type", ["event_type", "cnt", "window_start", "window_end"]), SQL["hopping_count"][1])
+FRAMES["stream_session_view"] = (_viewed("SELECT user_id, COUNT(*) AS cnt FROM SESSION(events, INTERVAL 6 HOUR) GROUP BY user_id", ["user_id", "cnt", "window_start", "window_end"]), SQL["session_count"][1])
+FRAMES["stream_group_view"] = (_viewed("SELECT user_id, COUNT(*) AS n, SUM(event_id) AS s, MAX(event_id) AS hi, MIN(event_id) AS lo FROM events GROUP BY user_id", ["user_id", "n", "s", "hi", "lo"]), "SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s, max(event_id) AS hi, min(event_id) AS lo FROM events GROUP BY 1")
+FRAMES["stream_filter_push"] = (_pushed("SELECT event_id, user_id FROM events WHERE event_type = 'click' AND value > 10 EMIT CHANGES;", ["event_id", "user_id"]), "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND value > 10")
+FRAMES["stream_join_push"] = (_pushed(f"SELECT x.a AS a, y.b AS b FROM {_E1} AS x INNER JOIN {_E2} AS y ON x.u = y.v WITHIN (INTERVAL 6 HOUR) EMIT CHANGES;", ["a", "b"]), SQL["join_within_inner"][1])
+FRAMES["stream_join_group_view"] = (_viewed(f"SELECT x.u AS u, COUNT(*) AS n FROM {_E1} AS x INNER JOIN {_E2} AS y ON x.u = y.v WITHIN (INTERVAL 6 HOUR) GROUP BY x.u", ["u", "n"]), f"SELECT u, count(*) AS n FROM {_E1} x JOIN {_E2} y ON x.u = y.v AND y.ts BETWEEN x.ts - INTERVAL 6 HOUR AND x.ts + INTERVAL 6 HOUR GROUP BY u")
+for _how in ("LEFT", "RIGHT", "FULL"):
+    FRAMES[f"stream_join_{_how.lower()}"] = (_outer(_how), f"SELECT x.a AS a, y.b AS b FROM {_E1} AS x {_how} JOIN {_E2} AS y ON x.u = y.v AND y.ts BETWEEN x.ts - INTERVAL 6 HOUR AND x.ts + INTERVAL 6 HOUR WHERE coalesce(x.ts, y.ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR")
+FRAMES["stream_chain"] = (stream_chain, f"SELECT event_id, user_id FROM events WHERE value > 50 AND user_id > 10 AND ts >= {_T}")
+FRAMES["stream_range"] = (stream_range, f"SELECT event_id, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND {_T} AND user_id = 7")
 FRAMES["latest_by_key"] = (latest_order, "SELECT o_custkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1")
 FRAMES["stream_table_join"] = (table_lookup, "SELECT e.event_id, e.user_id, l.last_id FROM events e JOIN (SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY 1) l USING (user_id)")
 FRAMES["changelog_join"] = (changelog_join, "SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")

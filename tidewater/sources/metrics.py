@@ -44,7 +44,7 @@ def tables(engine) -> dict[str, DataFrame]:
         "append_totals": p.groupBy(F.col("sink").alias("name")).agg(F.sum("input_rows").alias("total"), F.max("failed").alias("failed")),
         "append_latency": p.groupBy(F.col("sink").alias("name")).agg(*quantiles),
         "query_latency": p.groupBy(F.col("query").alias("name")).agg(*quantiles),
-        "subscription_throughput": _rates(p, "query", READ_MINUTES),
+        "subscription_throughput": _rates(engine.spark.createDataFrame(list(engine.acked), "subscription string, at timestamp, input_rows long"), "subscription", READ_MINUTES),
     }
 
 

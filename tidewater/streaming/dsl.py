@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewater.operators.joins import band, latest
+from tidewater.operators.joins import band, latest, lookup, streaming_lookup
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,12 @@ class Stream:
         clash = [c for c in table.df.columns if c in self.df.columns and c not in on]
         return Stream(self.df.join(table.df.drop(*clash), on, how), self.ts)
 
+    def join_changes(self, changes: Stream, on: list[str]) -> Stream:
+        """Each row with the last change of its key as known at its time; names but the keys must differ. Inner, of streams and of bounded frames."""
+        streaming = self.df.isStreaming or changes.df.isStreaming
+        f = streaming_lookup if streaming else lookup
+        return Stream(f(self.df, changes.df, on, self.ts, changes.ts), self.ts)
+
     def table(self, *keys: str) -> Table:
         """The last row of each key."""
         return Table(latest(self.df, list(keys), self.ts), list(keys))

@@ -11,9 +11,11 @@ rows between them, each with the output mode it needs.
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 import tempfile
 import uuid
+from collections import deque
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -44,6 +46,8 @@ class Engine:
         self.spark, self.compat, self.lateness = spark, compat, lateness
         self.root = (root or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-")).rstrip("/") + f"/engine-{name or uuid.uuid4().hex[:8]}"
         self.trigger = trigger or {"availableNow": True}
+        #: (subscription, time, deliveries) of late acknowledgements, for the metric tables.
+        self.acked: deque[tuple] = deque(maxlen=10_000)
         self.catalog = Catalog(namespace)
         self.store = Store(spark, f"{self.root}/catalog") if name else None
         if self.store:
@@ -102,10 +106,32 @@ class Engine:
         return reader.format("parquet").schema(schema).option("recursiveFileLookup", "true").load(s.path)
 
     def _inferred(self, s: Stream) -> T.StructType:
-        """The fields that a stream of free JSON has shown so far."""
-        found = self.spark.read.option("recursiveFileLookup", "true").json(s.path).schema if self._exists(s.path) else T.StructType()
-        fields = [f for f in found if f.name != "_ts"]
-        return T.StructType([*fields, T.StructField("_ts", T.TimestampType())])
+        """The fields that a stream of free JSON has shown so far: those that its writers have noted, or else what its files show."""
+        noted = f"{s.path}/_schema"
+        if self._exists(noted):
+            found = [T.StructType.fromJson(json.loads(r[0])) for r in self.spark.read.text(f"{noted}/*").distinct().collect()]  # a row for each set of fields
+        else:
+            found = [self.spark.read.option("recursiveFileLookup", "true").json(s.path).schema] if self._exists(s.path) else []
+        fields: dict[str, T.DataType] = {}
+        for f in sorted((f for x in found for f in x if f.name != "_ts"), key=lambda f: f.name):
+            fields[f.name] = _common(fields[f.name], f.dataType) if f.name in fields else f.dataType
+        return T.StructType([*[T.StructField(n, t) for n, t in fields.items()], T.StructField("_ts", T.TimestampType())])
+
+    def _note(self, s: Stream, schema: T.StructType) -> None:
+        """Notes the fields of rows that are written to a stream of free JSON, so that readers need not look through it."""
+        noted, text = f"{s.path}/_schema", schema.json()
+        path = f"{noted}/{hashlib.md5(text.encode()).hexdigest()}"
+        if not self._exists(noted) and not self._bare(s.path):
+            self._note_at(f"{noted}/before", self._inferred(s))
+        if not self._exists(f"{path}/_SUCCESS"):
+            self._note_at(path, schema)
+
+    def _note_at(self, path: str, schema: T.StructType) -> None:
+        self.spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    def _bare(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return not self._exists(path) or not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)
 
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -142,8 +168,10 @@ class Engine:
             df = df.withWatermark(s.event_time, self.lateness)
         return df, s.event_time
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Append rows; ``_ts`` is now where they have none."""
+    def append(self, name: str, df: DataFrame, compression: str | None = None) -> None:
+        """Append rows; ``_ts`` is now where they have none. ``compression`` is none, gzip or zstd (snappy, of declared columns, unless given)."""
+        if compression not in (None, "none", "gzip", "zstd"):
+            raise RunError(f"no compression {compression}")
         s = self.catalog.get("STREAM", name)
         if not s.owned:
             raise RunError(f"{name} isn't this engine's")
@@ -151,9 +179,10 @@ class Engine:
             df = df.withColumn("_ts", F.current_timestamp())
         path = f"{s.path}/rows-{uuid.uuid4().hex}"
         if s.schema is None:
-            df.write.json(path)
+            self._note(s, df.schema)
+            df.write.option("compression", compression or "none").json(path)
         else:
-            df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in s.schema]).write.parquet(path)
+            df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in s.schema]).write.option("compression", compression or "snappy").parquet(path)
 
     def read_range(self, name: str, start=None, end=None, key=None) -> DataFrame:
         """A bounded read by event time, both ends included, and by equality of columns."""
@@ -166,6 +195,12 @@ class Engine:
             df = df.where(F.col(k).eqNullSafe(F.lit(v)))
         return df
 
+    def read_shard(self, name: str, shard: int, shards: int, by: list[str], start=None, end=None) -> DataFrame:
+        """The rows of one of ``shards`` shards, into which the columns ``by`` deal a stream by hash; each row is in exactly one."""
+        if not 0 <= shard < shards:
+            raise RunError(f"no shard {shard} of {shards}")
+        return self.read_range(name, start, end).where(F.pmod(F.xxhash64(*by), F.lit(shards)) == shard)
+
     def trim(self, name: str, before) -> None:
         """Rows before a time are gone for readers, and from the files of an owned stream."""
         s = self.catalog.get("STREAM", name)
@@ -235,6 +270,7 @@ class Engine:
                 df = df.withColumn("_ts", F.col("window_end").cast("timestamp") if "window_end" in df.columns else F.current_timestamp())
             path = f"{s.path}/{query}-{batch:012d}"
             if s.schema is None:
+                self._note(s, df.schema)
                 return df.write.mode("overwrite").json(path)
             df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in s.schema]).write.mode("overwrite").parquet(path)
 
@@ -276,11 +312,19 @@ class Engine:
         return [f"{path}/{n}" for n in sorted(done) if n == base or "-base" not in n and n > base]
 
     def _compact(self, v: View, batch: int) -> None:
-        """One folder for all batches up to this one; readers switch when it is complete."""
+        """One folder for all batches up to this one; readers switch when it is complete.
+
+        What the last folder of this kind stands for goes now: readers that still use
+        it have listed it a whole round of batches ago.
+        """
         old = self._folders(v.path)
         self._latest(v, old).write.mode("overwrite").parquet(f"{v.path}/{batch:012d}-base")
-        for f in old:
-            self._delete(f)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(v.path)
+        names = [f.getPath().getName() for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+        kept = {f.rpartition("/")[2] for f in old} | {f"{batch:012d}-base"}
+        for n in names:
+            if n not in kept:
+                self._delete(f"{v.path}/{n}")
 
     def _latest(self, v: View, folders: list[str]) -> DataFrame:
         log = self.spark.read.schema(T.StructType([*v.schema, T.StructField("_batch", T.IntegerType())])).parquet(*folders)
@@ -557,6 +601,15 @@ class Engine:
         return df.groupBy("query").agg(*[F.percentile_approx("ms", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.75, 0.95, 0.99)])
 
 
+def _common(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds values of both: of numbers a floating one, else text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    return (T.LongType() if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType) else T.DoubleType()) if isinstance(a, T.NumericType) and isinstance(b, T.NumericType) else T.StringType()
+
+
 def sources(s: Source) -> list[str]:
     """The streams that a relation reads."""
     if s.kind == "stream":
