@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import written
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DAMPING, ROUNDS, RATIO, FLOOR = 0.85, 12, 2.0, 2.0
+DAMPING, RATIO, FLOOR = 0.85, 2.0, 2.0
+#: Rounds between two looks at whether scores still move, and by how much in all they may; as each round takes DAMPING of what is left, that is soon.
+ROUNDS, STILL = 8, 1e-3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,12 +52,12 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return pages.select(F.col(host).alias("src"), F.explode(links).alias("url_")).select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, reverse: bool = False, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank (host, score) from ``seeds`` (host, mass) along (or against) ``edges``.
+def propagate(edges: DataFrame, seeds: DataFrame, reverse: bool = False, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRank (host, score) from ``seeds`` (host, mass) along (or against) ``edges``; scores sum to 1.
 
     Each round joins scores to edges by their source and sums by target; the
-    sums are combined map-side, so a host with many links is not gathered.
-    Mass at hosts without links out is dropped, which only scales the scores.
+    sums are combined map-side, so a host with many links is not gathered. Rounds go on until scores move no more.
+    Mass at hosts without links out goes back to the seeds: that only scales the scores.
     """
     if reverse:
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -68,12 +70,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, reverse: bool = False, rounds:
     score = start.select("host", F.col("mass").alias("score"))
     if share.isEmpty():
         return score
-    for i in range(rounds):
-        moved = score.join(share, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        score = moved.unionByName(start.select("host", (F.col("mass") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % 4 == 3 or i == rounds - 1:
-            score = written(score, "rank")
-    return score
+    moving = 1.0
+    while moving > STILL:
+        old = score
+        for _ in range(ROUNDS):
+            moved = score.join(share, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
+            score = moved.unionByName(start.select("host", (F.col("mass") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
+        score = written(score, "rank")
+        both = score.unionByName(old.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.sum("score").alias("by"))
+        moving = both.agg(F.sum(F.abs("by"))).first()[0]
+    whole = score.agg(F.sum("score")).first()[0]
+    return score.select("host", (F.col("score") / whole).alias("score"))
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
