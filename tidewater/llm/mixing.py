@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,32 +26,39 @@ from tidewater.llm.quality import words_of
 WEIGHTS, SHARE, MAX_PASSES, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20240
 #: The dynamic program fits at most so many words; whole shares of every length meet the rest.
 DP_WORDS = 1 << 16
-#: Sources are planned on the driver, a row each; above this many an error is raised.
-MAX_SOURCES = 1_000_000
 #: Documents of one source and length are ranked in blocks of about so many.
 BLOCK = 4096
 
 
-def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, passes: float = MAX_PASSES) -> list[float]:
-    """Words for each source, sizes being in the order of the sources.
+def planned(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: float = MAX_PASSES) -> DataFrame:
+    """``totals`` (source, source_size) with target, whole (passes over all of the source) and rest (words beyond those).
 
-    ``share`` of all sizes is dealt by weight; a source gets at most ``passes``
-    times its size, and its excess is dealt again until none is above.
+    ``share`` of all sizes is dealt by weight, the weights going round the sources in
+    order; a source gets at most ``passes`` times its size, and its excess is dealt again
+    until none is above. Sources are placed, weighed and summed in Spark: a round
+    raises the level (words for each unit of weight) by what full sources leave.
     """
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    left, out, open_ = share * sum(sizes), [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    while open_:
-        total = sum(w[i] for i in open_)
-        full = [i for i in open_ if left * w[i] / total >= passes * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = left * w[i] / total
-            break
-        for i in full:
-            out[i] = passes * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+    placed = written(totals.orderBy(*_order(F.col("source"))).withColumn("i_", F.monotonically_increasing_id()), "sources")
+    part, at = F.shiftright("i_", 33), F.col("i_").bitwiseAND((1 << 33) - 1)
+    per = placed.groupBy(part.alias("p_")).agg(F.count("*").alias("c_"))  # a row a partition
+    before = F.coalesce(F.sum("c_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.col("before_") + at
+    weighed = placed.withColumn("p_", part).join(per.select("p_", before.alias("before_")), "p_")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    weighed = written(weighed.select("source", "source_size", F.when(F.col("source_size") > 0, weight).otherwise(0.0).alias("w_")), "weighed")
+    size, w = F.col("source_size"), F.col("w_")
+    all_, of = weighed.agg(F.sum(size), F.sum(w)).first()
+    left, level = share * (all_ or 0), 0.0
+    while of and left / of > level:
+        level = left / of
+        full = passes * size <= level * w
+        took, of = weighed.agg(F.coalesce(F.sum(F.when(full, passes * size)), F.lit(0.0)), F.sum(F.when(full, 0.0).otherwise(w))).first()
+        left = share * all_ - took
+    full = passes * size <= level * w
+    target = F.when(full, passes * size).otherwise(F.lit(left) * w / F.lit(of or 1.0))
+    whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
+    rest = F.when(size > 0, F.bround("target").cast("long") - F.col("whole") * size).otherwise(0).cast("long")
+    return weighed.withColumn("target", target).withColumn("whole", whole).select("source", "source_size", "target", "whole", rest.alias("rest"))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -132,14 +139,8 @@ def mixture(docs: DataFrame, size: str, source: str, doc: str, seed: int = SEED)
 
     ``docs`` must be readable again with the same rows (a table).
     """
-    spark = docs.sparkSession
     totals = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("long").alias("source_size"))
-    plan = totals.orderBy(*_order(F.col("source"))).limit(MAX_SOURCES + 1).collect()
-    if len(plan) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    goal = targets([int(x[1]) for x in plan])
-    rows = [(x[0], int(x[1]), float(t), int(t // x[1]) if x[1] else 0, (round(t) - int(t // x[1]) * int(x[1])) if x[1] else 0) for x, t in zip(plan, goal, strict=True)]
-    goals = spark.createDataFrame(rows, "source string, source_size long, target double, whole long, rest long")
+    goals = written(planned(totals), "goals")
 
     groups = docs.groupBy(F.col(source).alias("source"), F.col(size).alias("size")).agg(F.count("*").alias("n"))
     chosen = groups.join(goals, groups["source"].eqNullSafe(goals["source"])).select(groups["source"], "size", "n", "rest")
