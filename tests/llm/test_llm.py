@@ -308,10 +308,21 @@ def test_pagerank_against_dense(spark):
     m = m / m.sum(axis=0, keepdims=True)
     seed = np.array([1.0, 0, 0, 0])
     x = seed
-    for _ in range(url_filter.ROUNDS):
+    for _ in range(300):
         x = 0.85 * m @ x + 0.15 * seed
-    scores = {r["host"]: r["score"] for r in got(url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame([("a", 2.0)], "host string, mass double")))}
-    assert all(abs(scores.get(n, 0) - v) < 1e-12 for n, v in zip(names, x, strict=True))
+    x /= x.sum()
+    frames = spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame([("a", 2.0)], "host string, mass double")
+    scores = {r["host"]: r["score"] for r in got(url_filter.propagate(*frames))}
+    assert all(abs(scores.get(n, 0) - v) < 1e-3 for n, v in zip(names, x, strict=True))
+
+
+def test_places_need_a_table(spark, docs):
+    from tidewater.llm.common import place
+
+    place(docs.where("doc_id > 3").select("text"))
+    for df in (docs.repartition(2), docs.distinct(), spark.range(3)):
+        with pytest.raises(ValueError):
+            place(df)
 
 
 def brute_classes(texts):
@@ -523,6 +534,19 @@ def test_pack_balances():
     assert cost.std() < other.std()
 
 
+def brute_targets(sizes):
+    w = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+    left, out, open_ = 1.5 * sum(sizes), [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
+    while open_:
+        total = sum(w[i] for i in open_)
+        full = [i for i in open_ if left * w[i] / total >= 2 * sizes[i]]
+        for i in full or open_:
+            out[i] = 2.0 * sizes[i] if full else left * w[i] / total
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full] if full else []
+    return out
+
+
 def test_mixing(docs, empty):
     found = got(mixing.mixing(docs))
     words = lambda t: len(re.findall("[^\\x20\\x09-\\x0D]+", t or ""))
@@ -530,7 +554,7 @@ def test_mixing(docs, empty):
     for r in hard_rows():
         size[r[3]] += words(r[1])
     order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
-    target = dict(zip(order, mixing.targets([size[s] for s in order]), strict=True))
+    target = dict(zip(order, brute_targets([size[s] for s in order]), strict=True))
     src = {r[0]: r[3] for r in hard_rows() if r[0] is not None} | {None: None}
     taken = Counter()
     for r in found:
@@ -547,11 +571,19 @@ def test_mixing(docs, empty):
     assert mix.columns == docs.columns and mix.count() == sum(r["passes"] for r in found if r["passes"])
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == [200, 250 * 2 / 3, 250 / 3]
-    assert mixing.targets([]) == [] and mixing.targets([0, 10]) == [0, 15]
-    got_ = mixing.targets([1, 1000, 1000, 1000])
-    assert got_[0] == 2 and abs(sum(got_) - 1.5 * 3001) < 1e-6
+def test_targets(spark):
+    """Any number of sources in any number of partitions: weights follow the order of code points, null last."""
+    rng = random.Random(37)
+    for sizes in ([100, 100, 100], [0, 10], [1, 1000, 1000, 1000], [], [0, 0], [rng.randint(0, 2000) ** 2 for _ in range(500)]):
+        names = sorted({"".join(rng.choice("aZé\U0001f600z~") for _ in range(9)) for _ in sizes}, key=str.encode)
+        names = [*names[1:], None] if len(names) == len(sizes) > 0 else [f"{i:03d}" for i in range(len(sizes))]
+        rows = list(zip(names, sizes, strict=True))
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "source string, source_size long").repartition(3)
+        found = {r["source"]: r for r in got(mixing.planned(df))}
+        for name, size, want in zip(names, sizes, brute_targets(sizes), strict=True):
+            r = found[name]
+            assert abs(r["target"] - want) < 1e-6 * max(1.0, want) and abs(r["whole"] * size + r["rest"] - want) <= 0.5 + 1e-6
+    assert brute_targets([100, 100, 100]) == [200, 250 * 2 / 3, 250 / 3] and brute_targets([0, 10]) == [0, 15]
 
 
 def test_fit_is_best():

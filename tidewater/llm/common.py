@@ -47,14 +47,21 @@ def place(df: DataFrame) -> Column:
 
     It follows from the splits of the files. How they are cut depends on the cores
     registered at the time of the scan, which change as executors come and go,
-    unless the session says for how many: from the first use on it does.
+    unless the session says for how many: from the first use on it does. A frame
+    whose rows may be dealt anew at each scan is refused.
     """
     spark = df.sparkSession
+    if other := set(_nodes(df._jdf.queryExecution().optimizedPlan())) - {"Project", "Filter", "LogicalRelation"}:
+        raise ValueError(f"the rows of this frame ({', '.join(sorted(other))}) have no places that last: write it to a table")
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", str(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return F.monotonically_increasing_id()
 
 
+def _nodes(plan) -> list[str]:
+    return [plan.nodeName(), *(n for i in range(plan.children().size()) for n in _nodes(plan.children().apply(i)))]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files whose frames are gone."""
     import gc

@@ -30,6 +30,8 @@ from tidewater.llm.files import MANIFEST, commit, committed, manifest_rows, open
 MIN_REVISIT = 100
 #: Bytes of payload for each shard; compressed bytes at which a file rolls over.
 SHARD_BYTES, FILE_BYTES, LEVEL = 32 << 20, 16 << 20, 6
+#: Tasks that read files, at most.
+READERS = 4096
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:tidewater:page:"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -163,7 +165,7 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
     its header and its length in the HTTP header that it repeats.
     """
     listed = committed(spark, uri).select("name")
-    listed = listed.repartition(max(1, listed.count()))
+    listed = listed.repartition(min(max(1, listed.count()), READERS))
 
     def get(batches):
         fs, top = opened(uri)
