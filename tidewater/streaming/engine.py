@@ -292,7 +292,10 @@ class Engine:
     def _to_view(self, v: View):
         def put(df: DataFrame, batch: int, query: str) -> None:
             if v.complete:
+                # sessions have no update mode: the whole result, beside the last one, which readers may still use
                 df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{v.path}/{batch:012d}")
+                for f in self._folders(v.path)[:-2]:
+                    self._delete(f)
                 return
             df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{v.path}/{batch:012d}")
             if batch and batch % COMPACT == 0:
