@@ -683,6 +683,7 @@ def test_encoder(path, kind, monkeypatch):
     alphabet = [*"abcABC  \n\t'\"!?.,-_0129é×²ªß÷ÀÉŸǅǆÞıİ€<|>s t re ll d m\r", "'s", "'LL", " '", "  ", "\n\n", "Straße", "ﬁ", "\x1c", "<|endoftext|>", "\u0301"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     assert e(texts) == [e.whole(t) for t in texts]
+    assert [tokenize.odd(t) for t in texts] == [bool(tokenize.ODD.search(t)) for t in texts]
 
 
 def test_codes():

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.llm.common import scratch
 from tidewater.llm.files import MANIFEST, commit, committed, manifest_rows, opened, sharded, temporary
@@ -33,6 +34,8 @@ from tidewater.llm.tokenize import encoder
 MAGIC, BLOCK = b"TWDAC001", 512
 #: Bytes of text for each shard, and ids for each file.
 SHARD_BYTES, FILE_IDS = 48 << 20, 8 << 20
+#: Tasks that read files, at most; shards whose sums are added up together.
+READERS, TOGETHER = 4096, 1024
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -152,14 +155,23 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int, kind: str = "b
     return commit(rows.mapInArrow(put, MANIFEST), uri, "tokens")
 
 
+def _placed(files: DataFrame) -> DataFrame:
+    """``files`` (shard, part, units, ...) with ``before``: the ids of all files that stand before each.
+
+    Sums of sums: by file within a shard, by shard within a run of TOGETHER, by run.
+    """
+    before = lambda units, *by: F.coalesce(F.sum(units).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = files.groupBy("shard").agg(F.sum("units").alias("u1")).withColumn("run", F.floor(F.col("shard") / TOGETHER))
+    runs = shards.groupBy("run").agg(F.sum("u1").alias("u2")).select("run", before("u2", "run").alias("b2"))
+    shards = shards.withColumn("b1", before("u1", "run", "shard")).join(runs, "run").select("shard", "b1", "b2")
+    files = files.withColumn("b0", before("units", "shard", "part")).join(shards, "shard")
+    return files.withColumn("before", F.col("b0") + F.col("b1") + F.col("b2")).drop("b0", "b1", "b2")
+
+
 def read(spark: SparkSession, uri: str) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32, read from the files that the manifest lists."""
-    files = committed(spark, uri).select("shard", "part", "name", "units").orderBy("shard", "part").collect()  # a row a file
-    before, rows = 0, []
-    for f in files:
-        rows.append((f["name"], before))
-        before += f["units"]
-    listed = spark.createDataFrame(rows, "name string, before long").repartition(max(1, len(rows)))
+    listed = _placed(committed(spark, uri).select("shard", "part", "name", "units")).select("name", "before")
+    listed = listed.repartition(min(max(1, listed.count()), READERS))
 
     def get(batches):
         fs, top = opened(uri)
@@ -167,7 +179,8 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
             for name, first in zip(batch["name"].to_pylist(), batch["before"].to_pylist(), strict=True):
                 with fs.open_input_stream(f"{top}/{name}") as f:
                     ids, starts, code = unpack(f.read())
-                crcs = [zlib.crc32(code.read(s, e).astype("<u4").tobytes()) for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+                raw = memoryview(code.read(0, code.n).astype("<u4").tobytes())
+                crcs = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts[:-1] + first), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.mapInArrow(get, RESULT)

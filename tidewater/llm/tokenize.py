@@ -16,6 +16,7 @@ import numpy as np
 KEPT = 500_000
 #: Anything but plain white space, ASCII and the Latin letters and marks up to U+024F, without number forms and the dotted capital I; or the start of a special token.
 ODD = re.compile("[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
+_PLAIN = b"\t\n\r" + bytes(range(32, 127))
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u2c65\u2c66"
 _REST = f"[^{_LETTER}0-9 \t\n\r]+"
 #: The pre-tokens of a text of plain characters.
@@ -29,6 +30,12 @@ TOGETHER = 64
 _open: dict[tuple[str, str], "Encoder"] = {}
 
 
+def odd(text: str) -> bool:
+    """Has ``text`` anything that ``ODD`` finds? Plain characters are dropped first, which takes a byte each, not a step of a search."""
+    rest = text.encode().translate(None, _PLAIN)
+    return "<|" in text or bool(rest) and ODD.search(rest.decode()) is not None
+
+
 class Cache:
     """Two generations: when the young one is full it becomes the old one; what is found there returns."""
 
@@ -102,16 +109,24 @@ class Encoder:
                 into[p] = raw[4 * a : 4 * b]
                 a = b
 
+    def _known(self, cut: list[str]) -> bytes | None:
+        """The ids of a cut text, or None if a pre-token of it isn't in the young generation."""
+        try:
+            return b"".join(map(self.pieces.young.__getitem__, cut))
+        except KeyError:
+            return None
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 64):
             part = texts[i : i + 64]
-            cut = [None if ODD.search(t) else self.cut(t.lower() if self.kind == "word" else t) for t in part]
-            lacking = self.pieces.lacking(set().union(*[c for c in cut if c]))
-            if lacking:
-                self._encode(list(lacking))
-            get = self.pieces.young.__getitem__
-            out += [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(part, cut, strict=True)]
+            cut = [None if odd(t) else self.cut(t.lower() if self.kind == "word" else t) for t in part]
+            made = [self.whole(t) if c is None else self._known(c) for t, c in zip(part, cut, strict=True)]
+            if fresh := [k for k, m in enumerate(made) if m is None]:
+                self._encode(list(self.pieces.lacking(set().union(*[cut[k] for k in fresh]))))
+                for k in fresh:
+                    made[k] = self._known(cut[k])
+            out += made
         return out
 
 
