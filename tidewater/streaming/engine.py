@@ -436,7 +436,7 @@ class Engine:
             df, _ = Lowering(self._open_stream, self.compat, streaming=True).timed(plan)
             session = plan.source.kind == "window" and plan.source.window == "SESSION"
             mode = "append" if not is_aggregate(plan) else "complete" if session else "update"
-            writer = df.writeStream.outputMode(mode).foreachBatch(lambda b, i: put(b, i, name)).option("checkpointLocation", f"{work}/main").queryName(name)
+            writer = df.writeStream.outputMode(mode).foreachBatch(lambda b, i: put(b, i, name)).option("checkpointLocation", f"{work}/main").queryName(f"{self.root.rpartition('/')[2]}-{name}")
             query.handles.append(writer.trigger(**self.trigger).start())
             query.wanted = Status.RUNNING
 
