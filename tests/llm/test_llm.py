@@ -113,6 +113,26 @@ def test_pii_rare_terms(spark, tmp_path):
     assert all(found[i]["n_terms"] == 0 for i in (302, 303, 304))
 
 
+def test_pii_far_terms(spark, tmp_path):
+    """A name discloses an address wherever it stands in the documents, near or far, before or beyond other entities; copies with an edit here and there are one document."""
+    rng = random.Random(41)
+    texts = [sentence(rng, 60) for _ in range(300)]
+    for i in range(6):
+        texts.append(f"Quentinsson {sentence(rng, 60)} k.q@mail.example.com, o{i}@x{i}.example.org {sentence(rng, 60)} sagte Quentinsson {sentence(rng, 3)}")
+    base = f"Lindqvist {sentence(rng, 80)} a.b@mail.example.com {sentence(rng, 80)}".split(" ")
+    for i in (10, 25, 40, 55, 120, 140):
+        edited = base.copy()
+        edited[i] = "edited"
+        texts.append(" ".join(edited))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    found = {r["doc_id"]: r for r in got(pii.sanitise(spark.read.parquet(str(tmp_path / "t")), with_text=True))}
+    for i in range(300, 306):
+        places = [f"term:{m.start()}:{m.end()}" for m in re.finditer("Quentinsson", texts[i])]
+        assert len(places) == 2 and set(places) <= set(found[i]["spans"].split(","))
+        assert "Quentinsson" not in found[i]["clean_text"] and "[EMAIL], [EMAIL]" in found[i]["clean_text"]
+    assert all(f"term:0:{len('Lindqvist')}" not in found[i]["spans"] and found[i]["n_terms"] == 0 for i in range(306, 312))
+
+
 def test_pii_scan(spark):
     """Sums and maxima of what stands before, over arrays of any length."""
     for n in (0, 1, 127, 128, 129, 1000):

@@ -1,18 +1,20 @@
 """Personal data: base patterns, and terms that disclose them by corpus co-occurrence.
 
 DataFrame functions only. The four patterns give spans of protected entities
-(code points, end exclusive). Terms are runs of letters near an entity. Over the
-corpus, a term's disclosure of an entity is the share of the entity's
+(code points, end exclusive). Terms are whole words of a document that has an entity, wherever
+they stand in it. Over the corpus, a term's disclosure of an entity is the share of the entity's
 information that the term carries,
 
     log((1 - 1 / s) * n(e, t) * N / (n(e) * n(t))) / log(N / n(e)),
 
-with n in documents, n(e, t) counting documents that have t near e, and s the
+with n in documents, n(e, t) counting documents that have both, and s the
 different surroundings in which they stand: towards 1 when t occurs nowhere else, 0
 when it is independent. The first surroundings are discounted, as any text has
-words near an entity: one alone, or copies of it, is no evidence, and the more
-there are the less is taken off. Terms at or over ``REMOVE`` are
-removed where they stand near the entity. Those at or over ``GENERALISE`` are
+words beside an entity: one alone, or copies of it, is no evidence, and the more
+there are the less is taken off. Surroundings are documents, those that nearly equal each
+other being one (``_marks``), or the words within ``NEAR`` code points of an entity if
+more of those that hold the term are different. Terms at or over ``REMOVE`` are
+removed wherever they stand in a document with the entity. Those at or over ``GENERALISE`` are
 generalised: to the most letters they begin with whose disclosure, of all the terms
 that begin so taken together, is under ``GENERALISE``, and a star.
 
@@ -50,6 +52,8 @@ WORD = "\\p{L}{4,}"
 TERM = "(?<![\\p{L}0-9@._%+-])\\p{L}{4,}+(?![0-9@_%+-]|\\.[\\p{L}0-9])"
 #: Values that a scan takes together, and code points of a chunk.
 RUN, CHUNK = 128, 4096
+#: Minima of a document's marks.
+MARKS = 8
 _MORE = "array<struct<s:int,k:int,e:int,d:double,g:int>>"
 
 
@@ -149,17 +153,27 @@ def _names(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"], x["e"])), ",")
 
 
+def _words(text: Column) -> Column:
+    """Array of (s, v) of the terms of a text."""
+
+    def places(found):
+        at = _scan(F.transform(found, lambda z: F.length(z["p"]) + F.length(z["v"])), _plus)
+        return F.zip_with(found, at, lambda z, a: F.struct((a + F.length(z["p"])).alias("s"), z["v"].alias("v")))
+
+    return _let(F.filter(split_at(text, TERM), lambda z: z["v"].isNotNull()), places)
+
+
+def _placed(words: Column, begin: Column) -> Column:
+    """(s, e, v) of the result of ``_words`` of what begins at ``begin``, lower-cased."""
+    return F.transform(words, lambda m: F.struct((begin + m["s"]).alias("s"), (begin + m["s"] + F.length(m["v"])).alias("e"), F.lower(m["v"]).alias("v")))
+
+
 def _terms(x: Column) -> Column:
     """(s, e, v) of the terms beside a span: whole words of the NEAR code points on either side, lower-cased."""
 
     def side(text, begin, whole):
         # one more code point than NEAR tells whether a word is cut
-        def places(found):
-            at = _scan(F.transform(found, lambda z: F.length(z["p"]) + F.length(z["v"])), _plus)
-            return F.zip_with(found, at, lambda z, a: F.struct((a + F.length(z["p"])).alias("s"), z["v"].alias("v")))
-
-        kept = F.filter(_let(F.filter(split_at(text, TERM), lambda z: z["v"].isNotNull()), places), lambda m: whole(m["s"], m["s"] + F.length(m["v"])))
-        return F.transform(kept, lambda m: F.struct((begin + m["s"]).alias("s"), (begin + m["s"] + F.length(m["v"])).alias("e"), F.lower(m["v"]).alias("v")))
+        return _placed(F.filter(_words(text), lambda m: whole(m["s"], m["s"] + F.length(m["v"]))), begin)
 
     short = lambda t: F.length(t) <= NEAR
     left = side(x["l"], x["s"] - F.length(x["l"]), lambda s, e: short(x["l"]) | (s > 0))
@@ -167,48 +181,72 @@ def _terms(x: Column) -> Column:
     return F.concat(left, right)
 
 
+def _marks(terms: Column) -> Column:
+    """MARKS minima of hashes of a document's runs of three terms: documents that nearly equal each other have one in common, and others have none."""
+    runs = lambda v: F.transform(v, lambda x, i: F.xxhash64(F.get(v, i - 1), x, F.get(v, i + 1)))
+    return _let(_let(terms, runs), lambda h: F.array(*[F.array_min(F.transform(h, lambda x: F.xxhash64(F.lit(k), x))) for k in range(MARKS)]))
+
+
 def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Per row of ``docs`` with entities: (row, more_) of terms that disclose a near entity; more_ is an array of (s, k, e, d).
+    """Per row of ``docs`` with entities: (row, more_) of terms that disclose an entity of the row; more_ is an array of (s, k, e, d, g).
 
     ``docs`` has row, base and the text, and is a table.
     """
-    hit = docs.where(F.size("base") > 0).select("row", F.explode("base").alias("x"))
-    near = hit.select("row", F.concat_ws(":", "x.k", "x.v").alias("entity"), _terms(F.col("x")).alias("near"))
+    hit, text = docs.where(F.size("base") > 0), F.coalesce(F.col(text_col), F.lit(""))
+    near = hit.select("row", F.explode("base").alias("x")).select("row", F.concat_ws(":", "x.k", "x.v").alias("entity"), _terms(F.col("x")).alias("near"))
     near = near.withColumn("around", F.xxhash64(F.transform("near", lambda t: t["v"])))
     near = written(near.select("row", "entity", "around", F.explode("near").alias("t")).select("row", "entity", "around", "t.s", "t.e", F.col("t.v").alias("term")), "near")
-    # support: different surroundings (the logarithm of a pair with one is minus infinity); then documents
-    pairs = near.groupBy("entity", "term", "around").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("support")).where("support > 1")
-    pairs = written(pairs.select("entity", "term", "support"), "pairs")
-    if pairs.isEmpty():
+    beside = near.groupBy("entity", "term", "around").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("beside")).where("beside > 1")
+    beside = written(beside, "beside")
+    total = float(docs.count())
+    each = written(hit.select("row", F.explode(F.array_distinct(F.transform("base", lambda y: F.concat_ws(":", y["k"], y["v"])))).alias("entity")), "entities")
+    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e")).join(beside.select("entity").distinct().withColumn("some", F.lit(True)), "entity", "left")
+    # support: different surroundings (the logarithm of a pair with one is minus infinity); what is in one document has them beside it only
+    held = written(each.join(n_e.where((F.col("n_e") < total) & ((F.col("n_e") > 1) | F.col("some"))).drop("some"), "entity"), "held")
+    if held.isEmpty():
         return near.select("row").limit(0).withColumn("more_", F.array().cast(_MORE))
-    both = near.join(pairs, ["entity", "term"], "left_semi").groupBy("entity", "term", "row").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    n_e = docs.where(F.size("base") > 0).select("row", F.explode(F.array_distinct(F.transform("base", lambda y: F.concat_ws(":", y["k"], y["v"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), 0))).alias("term"))
+    whole = docs.join(held.select("row").distinct(), "row").select("row", F.transform(_words(text), lambda m: F.lower(m["v"])).alias("terms"))
+    whole = written(whole.select("row", F.array_distinct("terms").alias("terms"), _marks(F.col("terms")).alias("marks")), "whole")
+    both = held.join(whole.select("row", F.explode("terms").alias("term")), "row").select("row", "entity", "term", "n_e")
+    both = both.unionByName(near.join(held, ["row", "entity"]).select("row", "entity", "term", "n_e")).distinct()
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))).alias("term"))
     # a row a term, whatever the number of documents
     known = written(words.groupBy("term").agg(F.count("*").alias("n_t")), "vocabulary")
-    total = float(docs.count())
 
     def share(n_et, n_t):
-        # a term's neighbourhood is cut at word limits, so n_t is n_et at least
+        # a term beside an entity is cut at the entity, so n_t is n_et at least
         return F.log((1 - 1 / F.col("support")) * n_et * total / (F.col("n_e") * F.greatest(n_t, n_et))) / F.log(total / F.col("n_e"))
 
-    scored = both.join(pairs, ["entity", "term"]).join(n_e.where(F.col("n_e") < total), "entity").join(known, "term")
-    scored = written(scored.withColumn("d", share(F.col("n_et"), F.col("n_t"))), "scored")
-    found = scored.where(F.col("d") >= GENERALISE)
-    d = written(found.join(_general(found.where(F.col("d") < REMOVE), scored, known, share, total), ["entity", "term"], "left").select("entity", "term", "d", F.coalesce("g", F.lit(0)).alias("g")), "disclosing")
-    return near.join(d, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "d", "g"))).alias("more_"))
-
-
-def _general(found: DataFrame, scored: DataFrame, known: DataFrame, share, total: float) -> DataFrame:
-    """(entity, term, g): how many letters of each term of ``found`` its general form keeps; terms that none but the empty beginning suits are absent."""
+    # exact: the share of a term in more documents is under GENERALISE, were it in all that have the entity
+    most = F.col("n_e") * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    pairs = written(both.join(known, "term").where(F.col("n_t") <= most), "pairs")
+    marked = pairs.join(whole.select("row", F.posexplode("marks").alias("i", "mark")), "row")
+    marked = marked.groupBy("entity", "term", "n_e", "n_t", "i", "mark").agg(F.count("*").alias("c")).groupBy("entity", "term", "n_e", "n_t", "i").agg(F.count("*").alias("different"), F.sum("c").alias("c"))
+    scored = marked.groupBy("entity", "term", "n_e", "n_t").agg(F.min("different").alias("different"), F.max("c").alias("n_et")).join(beside, ["entity", "term"], "left")
+    scored = scored.withColumn("support", F.greatest("different", "beside")).where("support > 1")
+    found = written(scored.withColumn("d", share(F.col("n_et"), F.col("n_t"))).where(F.col("d") >= GENERALISE), "scored")
+    if found.isEmpty():
+        return near.select("row").limit(0).withColumn("more_", F.array().cast(_MORE))
+    cut = found.where(F.col("d") < REMOVE)
+    n_et = both.join(cut.select("entity").distinct(), "entity").groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    d = found.join(_general(cut, n_et, known, share, total), ["entity", "term"], "left").select("entity", "term", "d", F.coalesce("g", F.lit(0)).alias("g"))
+    chosen = written(pairs.join(d, ["entity", "term"]).select("row", "term", "d", "g").distinct(), "disclosing")
+    rows = chosen.select("row").distinct()
+    places = docs.join(rows, "row").select("row", F.explode(_placed(_words(text), F.lit(0))).alias("t")).select("row", "t.s", "t.e", F.col("t.v").alias("term"))
+    places = places.unionByName(near.join(rows, "row").select("row", "s", "e", "term"))
+    return places.join(chosen, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "d", "g"))).alias("more_"))
+
+
+def _general(found: DataFrame, each: DataFrame, known: DataFrame, share, total: float) -> DataFrame:
+    """(entity, term, g): how many letters of each term of ``found`` its general form keeps; terms that none but the empty beginning suits are absent. ``each`` has n_et of all terms."""
     heads = lambda least: F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - least), lambda n: F.left("term", n))).alias("head")
     asked = written(found.select("entity", "term", "support", "n_e", heads(1)), "heads")
     some = asked.select("head").distinct()
     # counted by beginnings: no beginning is in more documents than there are
     n_t = known.select("n_t", heads(0)).join(some, "head").groupBy("head").agg(F.least(F.sum("n_t"), F.lit(int(total))).alias("n_t"))
-    n_et = scored.select("entity", "n_et", heads(0)).join(some, "head", "left_semi").groupBy("entity", "head").agg(F.sum("n_et").alias("n_et"))
-    each = asked.join(n_t, "head").join(n_et, ["entity", "head"]).withColumn("d", share(F.least("n_et", "n_e"), F.col("n_t")))
-    return each.where(F.col("d") < GENERALISE).groupBy("entity", "term").agg(F.max(F.length("head")).alias("g"))
+    n_et = each.select("entity", "n_et", heads(0)).join(some, "head", "left_semi").groupBy("entity", "head").agg(F.sum("n_et").alias("n_et"))
+    taken = asked.join(n_t, "head").join(n_et, ["entity", "head"]).withColumn("d", share(F.least("n_et", "n_e"), F.col("n_t")))
+    return taken.where(F.col("d") < GENERALISE).groupBy("entity", "term").agg(F.max(F.length("head")).alias("g"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -221,7 +259,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     more = disclosing(rows)
     out = rows.select("doc_id", "base", "row", *["text"] * with_text).join(written(more, "terms"), "row", "left")
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(1.0).alias("d"), F.lit(0).alias("g")))
-    # a term near two entities has two scores, side by side as they are sorted: the highest stands
+    # a term with two entities has two scores, side by side as they are sorted: the highest stands
     more_ = F.coalesce(F.col("more_"), F.array().cast(_MORE))
     extra = F.filter(more_, lambda x, i: F.coalesce(F.get(more_, i + 1)["s"] != x["s"], F.lit(True)))
     out = out.withColumn("extra_", extra).withColumn("all_", F.array_sort(F.concat(base, "extra_")))
