@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -459,6 +460,24 @@ def test_forest():
     assert near_dup.forest(list(range(60)), want, found, [0] * 60) == []
 
 
+def test_forest_in_little_memory():
+    """A full block whose pairs nearly all share enough takes a bounded amount beside its matrices; its texts are shingled some at a time."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 100).astype(np.uint64)
+    found = []
+    for _ in range(near_dup.BLOCK):
+        found.append(base.copy())
+        found[-1][rng.integers(0, 100, 4)] = rng.integers(1, 1 << 62, 4).astype(np.uint64)
+    node = list(range(len(found)))
+    tracemalloc.start()
+    links = near_dup.forest(node, node, found, [0] * len(node))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == len(node) - 1 and peak < 150e6
+    texts = ["", "a b c", *(sentence(random.Random(i), 20000) for i in range(4)), " ", "tail"]
+    assert all(np.array_equal(a, b) for a, b in zip(near_dup._shingled(texts), shingles([t.encode() for t in texts]), strict=True))
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.aligned(a, a) == 1

@@ -49,6 +49,8 @@ FEW = 16
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 #: Shingles that an incidence matrix has columns for.
 COLUMNS = 4096
+#: Rows of a block that are searched for pairs at once, and bytes of texts that are shingled together.
+STRIPE, TOGETHER = 256, 1 << 18
 #: Counts by which shingles are ordered.
 SLOTS = 1 << 18
 
@@ -237,23 +239,42 @@ def forest(node: list[int], root: list[int], found: list[np.ndarray], side: list
     first = sides == sides.min()
     x, y = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(node)),) * 2
     n, roots = np.array([len(s) for s in found]), np.array(root)
-    _, at, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    shared = count[at] > 1
-    column, owner = (np.cumsum(count > 1) - 1)[at[shared]], np.repeat(np.arange(len(node)), n)[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
+    values, owner = np.concatenate(found), np.repeat(np.arange(len(node), dtype=np.int32), n)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    column = np.cumsum(np.diff(values, prepend=~values[:1]) != 0, dtype=np.int32) - 1
+    count = np.bincount(column)
+    shared = count[column] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    del values, order, shared
+    row = np.empty(len(node), np.int32)
     overlap = np.zeros((len(x), len(y)), np.float32)
     for a in range(0, int((count > 1).sum()), COLUMNS):
         i, j = np.searchsorted(column, (a, a + COLUMNS))
-        part = np.zeros((len(node), COLUMNS), np.float32)
-        part[owner[i:j], column[i:j] - a] = 1
-        overlap += part[x] @ part[y].T
-    total = (n[x][:, None] + n[y]).astype(np.float32)
-    ok = (overlap * (1 + SIMILAR) >= SIMILAR * total - 1e-3) & (roots[x][:, None] != roots[y])
-    if first.all():
-        ok &= np.arange(len(node))[:, None] < np.arange(len(node))
-    u, v = np.nonzero(ok)
-    order = np.argsort(-overlap[u, v] / total[u, v], kind="stable")
+        parts = []
+        for members in (x,) if first.all() else (x, y):
+            row[:] = -1
+            row[members] = np.arange(len(members))
+            part = np.zeros((len(members), COLUMNS), np.float32)
+            at = row[owner[i:j]]
+            part[at[at >= 0], column[i:j][at >= 0] - a] = 1
+            parts.append(part)
+        overlap += parts[0] @ parts[-1].T
+        del part, parts
+    # by stripes, and in few bytes: nearly all pairs of a block may share enough
+    where, scores = [], []
+    for a in range(0, len(x), STRIPE):
+        part = overlap[a : a + STRIPE]
+        total = (n[x[a : a + STRIPE]][:, None] + n[y]).astype(np.float32)
+        ok = (part * (1 + SIMILAR) >= SIMILAR * total - 1e-3) & (roots[x[a : a + STRIPE]][:, None] != roots[y])
+        if first.all():
+            ok &= np.arange(a, a + len(part))[:, None] < np.arange(len(node))
+        at = np.flatnonzero(ok)
+        where.append((at + a * len(y)).astype(np.int32))
+        scores.append(-part.ravel()[at] / total.ravel()[at])
+    del overlap, part
+    where = np.concatenate(where)[np.argsort(np.concatenate(scores), kind="stable")]
+    del scores
     top = {r: r for r in root}
 
     def find(r):
@@ -262,21 +283,36 @@ def forest(node: list[int], root: list[int], found: list[np.ndarray], side: list
         return r
 
     out = []
-    for i, j in zip(x[u[order]].tolist(), y[v[order]].tolist(), strict=True):
-        p, q = find(root[i]), find(root[j])
-        if p != q and (s := aligned(found[i], found[j])) > 0:
-            top[p] = q
-            out.append((min(node[i], node[j]), max(node[i], node[j]), s))
+    for a in range(0, len(where), 4096):
+        u, v = np.divmod(where[a : a + 4096], len(y))
+        for i, j in zip(x[u].tolist(), y[v].tolist(), strict=True):
+            p, q = find(root[i]), find(root[j])
+            if p != q and (s := aligned(found[i], found[j])) > 0:
+                top[p] = q
+                out.append((min(node[i], node[j]), max(node[i], node[j]), s))
     return out
 
 
+def _shingled(texts: list[str]) -> list[np.ndarray]:
+    """``shingles`` of a block's texts, some at a time, as their tables grow with the bytes taken together."""
+    out: list[np.ndarray] = []
+    some, size = [], 0
+    for t in texts:
+        some.append(t.encode())
+        size += len(some[-1])
+        if size > TOGETHER:
+            out += shingles(some, WORDS)
+            some, size = [], 0
+    return out + (shingles(some, WORDS) if some else [])
+
+
 def _dealt(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links from ``rows`` (group, i, j, side, node, root): each (group, i, j) is a task's block, or two blocks told apart by ``side``."""
 
     def scan(batches):
         for _, group in _groups(batches, ("group", "i", "j"), ("side", "node", "root", "text")):
             side, node, root, text = map(list, zip(*group, strict=True))
-            if len(node) > 1 and len(set(root)) > 1 and (found := forest(node, root, shingles([t.encode() for t in text], WORDS), side)):
+            if len(node) > 1 and len(set(root)) > 1 and (found := forest(node, root, _shingled(text), side)):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["a", "b", "similarity"])
 
     whole = rows.join(texts, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
