@@ -150,6 +150,70 @@ def test_stream_full_join_and_sliding(spark, tmp_path):
     assert rows(e.changes(s).select("s", "n")) == [(0, 1), (12, 2), (300, 1), (50, 1)]
 
 
+def test_sliding_spans():
+    """What is carried from span to span gives what each span gives alone, exactly, in time that doesn't grow with the spans."""
+    import math
+    import random
+    import time
+    from decimal import Decimal
+    from fractions import Fraction
+
+    from tidewater.functions.sliding import over_spans
+
+    r, nan = random.Random(5), math.nan
+    kinds = {int: lambda: r.randrange(-(2**62), 2**62), float: lambda: r.choice([r.gauss(0, 1), r.gauss(0, 1e17), 0.1]), Decimal: lambda: Decimal(r.randrange(10**30)).scaleb(-9), str: lambda: r.choice("abcdé")}
+    for kind, draw in kinds.items():
+        values = [None if r.random() < 0.3 else draw() for _ in range(120)]
+        lows = sorted(r.randrange(100) for _ in range(60))
+        spans = list(zip(lows, sorted(x + r.randrange(20) for x in lows), strict=True))
+        parts = [[v for v in values[lo:hi] if v is not None] for lo, hi in spans]
+        assert over_spans("COUNT", 0, values, spans) == [len(p) for p in parts]
+        assert over_spans("MIN", 0, values, spans) == [min(p, default=None) for p in parts]
+        assert over_spans("MAX", 0, values, spans) == [max(p, default=None) for p in parts]
+        for k in (0, 1, 3, 99):
+            assert over_spans("TOPK", k, values, spans) == [sorted(p, reverse=True)[:k] for p in parts]
+            assert over_spans("TOPKDISTINCT", k, values, spans) == [sorted(set(p), reverse=True)[:k] for p in parts]
+        if kind is not str:
+            exact = [sum(map(Fraction, p)) if p else None for p in parts]
+            assert [None if x is None else Fraction(x) for x in over_spans("SUM", 0, values, spans)] == [None if x is None else Fraction(float(x)) if kind is float else x for x in exact]
+            assert over_spans("AVG", 0, values, spans) == [None if x is None else float(x) / len(p) for x, p in zip(exact, parts, strict=True)]
+    odd = [1.0, math.inf, 2.0, -math.inf, nan, 1e308, 1e308]
+    spans = [(0, 1), (0, 2), (1, 3), (1, 4), (2, 4), (4, 6), (5, 7)]
+    assert str(over_spans("SUM", 0, odd, spans)) == str([1.0, math.inf, math.inf, nan, -math.inf, nan, math.inf])
+    assert str(over_spans("MAX", 0, odd, spans)) == str([1.0, math.inf, math.inf, math.inf, 2.0, nan, 1e308])
+    assert str(over_spans("TOPK", 1, odd, spans)) == str([[1.0], [math.inf], [math.inf], [math.inf], [2.0], [nan], [1e308]])
+    n, began = 40_000, time.process_time()
+    values, spans = [float(i * i % 977) for i in range(n)], [(max(0, i - n // 2), i + 1) for i in range(n)]
+    for name in ("COUNT", "SUM", "AVG", "MIN", "MAX", "TOPK"):
+        over_spans(name, 3, values, spans)
+    assert time.process_time() - began < 10  # over a minute if each span is gone through
+
+
+def test_stream_sliding_splits_a_hot_key(spark):
+    """A key's rows are in states by time, seen from the next one too; states end with the watermark, and a row that comes after that still has its result."""
+    e = Engine(spark, lateness="0 seconds")
+    e.execute("CREATE STREAM h (v INTEGER, k STRING);")
+    put = lambda v: e.append("h", spark.createDataFrame([(i, "a", at(t)) for i, t in enumerate(v)], "v long, k string, _ts timestamp"))
+    times = [i * i * 7 % 40_000 for i in range(80)] + [0, 3599, 3600, 7199, 7200, 7200, -1, 36_000]
+    put(times)
+    states = lambda q: [p["stateOperators"][0]["numRowsTotal"] for p in q.handles[0].recentProgress if p["stateOperators"]]
+    queries = {w: e.execute(f"SELECT SUM(v) AS s, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, AVG(v) AS m FROM SLIDING(h, INTERVAL {w} SECOND) GROUP BY k EMIT CHANGES;") for w in (7200, 60)}
+    for w, q in queries.items():
+        e.wait(q)
+        parts = [(t, [i for i, x in enumerate(times) if t - w <= x <= t]) for t in times]
+        want = [(sum(p), len(p), min(p), max(p), sum(p) / len(p), at(t)) for t, p in parts]
+        assert rows(e.changes(q).select("s", "n", "lo", "hi", "m", "window_end")) == rows(spark.createDataFrame(want, "s long, n long, lo long, hi long, m double, e timestamp"))
+        assert max(states(q)) >= 6
+    put([400_000])
+    for w, q in queries.items():
+        e.refresh(q)
+        assert states(q)[-1] == 1 + (w == 7200)
+    put([5])
+    for q in queries.values():
+        e.refresh(q)
+        assert rows(e.changes(q).where(F.col("window_end") == F.lit(at(5))).select("s", "n")) == [(0, 1)]
+
+
 def test_shards_and_compression(engine, spark):
     engine.execute("CREATE STREAM s (a INTEGER);")
     for how in (None, "none", "gzip", "zstd"):

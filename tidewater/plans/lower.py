@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tidewater.errors import BindError, PlanError
 from tidewater.functions import scalar
 from tidewater.functions.aggregates import aggregate
-from tidewater.functions.sliding import sliding_step
+from tidewater.functions.sliding import BUCKET_US, sliding_step
 from tidewater.operators.joins import band, micros, over_interval
 from tidewater.plans.parser import Expr, Select, Source
 from tidewater.plans.validate import select as validate
@@ -368,9 +368,17 @@ class Lowering:
         values = [F.col(f"x{i}").cast("string").alias(f"x{i}") for i in range(len(calls))]
         results = r.df.groupBy().agg(*[build[p].alias(swap[p]) for p in found]).schema
         kinds = [*[f"`{n}` {keyed.schema[n].dataType.simpleString()}" for n in names], "t long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in results]]
-        step = sliding_step(calls, size_ms * 1000, [*names, "t", *results.names])
-        # the event time goes along, as it has the watermark
-        out = keyed.select(*names, "t", "at", *values).where("t is not null").groupBy(*names).applyInPandasWithState(step, ", ".join(kinds), "rows binary", "update", "NoTimeout")
+        width = size_ms * 1000
+        bucket = max(width, BUCKET_US)
+        step = sliding_step(calls, width, bucket, [*names, "t", *results.names])
+        # each row is in its bucket and, if a row there can see it, in the next one
+        start, after = F.col("t") - F.pmod("t", F.lit(bucket)), F.col("t") + width
+        place = lambda b, is_own: F.struct(b.alias("b"), F.lit(is_own).alias("own"))
+        both = F.array(place(start, True), place(start + bucket, False))
+        dealt = keyed.where("t is not null").withColumn("place", F.explode(F.when(after >= start + bucket, both).otherwise(F.slice(both, 1, 1))))
+        # The column of the watermark goes along, so that states can end by it. Late rows have their results too, over what is kept: no row counts as late here.
+        at = F.greatest("at", F.lit("2262-01-01").cast("timestamp")).alias("at", metadata={"spark.watermarkDelayMs": 0})
+        out = dealt.select(*names, F.col("place.b").alias("b"), "t", "place.own", at, *values).groupBy(*names, "b").applyInPandasWithState(step, ", ".join(kinds), "rows binary", "update", "EventTimeTimeout")
         return out.select(*[F.col(n).alias(o) for n, o in zip(names, own, strict=False)], F.timestamp_micros("t").alias(r.ts), *results.names)
 
     def _grouped(self, r: Relation, own: list[Column], keys: list[Field], found, build, swap, kind: str) -> DataFrame:
