@@ -113,6 +113,52 @@ def test_over_interval(spark):
     assert rows(joins.as_of(df, 10_000_000, ["k"], "ts", {"n": F.count("*"), "s": F.sum("v")})) == rows(want)
 
 
+def test_over_interval_from_halves(spark):
+    """Aggregates from two running ones give what a window of each row's interval gives, and no such window is in the plan but for what can't be split."""
+    import math
+    import random
+
+    from pyspark.sql import Window
+
+    from tidewater.functions.aggregates import Framed
+    from tidewater.operators import joins
+
+    r, top = random.Random(3), 2**63 - 1
+    some = lambda x: None if r.random() < 0.2 else x
+    data = [(r.randrange(3), some(at(r.choice([r.randrange(-40, 40), r.randrange(-4000, 4000) / 100]))), some(r.randrange(-99, 99)), some(r.choice([r.randrange(-9, 9) / 4, math.nan, math.inf])), some(r.choice("abé")), r.randrange(10**9)) for _ in range(400)]
+    df = spark.createDataFrame(data, "k int, ts timestamp, v long, f double, s string, u long").withColumn("d", (F.col("u") / 1000).cast("decimal(12,3)")).withColumn("e", F.col("d").cast("decimal(38,18)"))
+    build = {
+        "n": lambda f: f.count("*"), "nv": lambda f: f.count("v"), "sv": lambda f: f.sum("v"), "sf": lambda f: f.sum(F.col("f")), "sd": lambda f: f.sum("d"), "av": lambda f: f.avg("v"), "af": lambda f: f.avg("f"),
+        "lo": lambda f: f.min("f"), "hi": lambda f: f.max("f"), "ls": lambda f: f.min("s"), "hs": lambda f: f.max("s"), "some": lambda f: f.max(F.col("v") > 90), "spread": lambda f: f.max("v") - f.min("v"),
+    }
+    whole = {"se": lambda f: f.sum("e"), "ad": lambda f: f.avg("d"), "l": lambda f: F.sort_array(f.collect_list("v"))}
+    frames = lambda x: [w for w in x._jdf.queryExecution().optimizedPlan().toString().split("specifiedwindowframe(")[1:] if not w.startswith("RangeFrame, unboundedpreceding$()")]
+    for us in (0, 1, 9_000_000, 33_333_333):
+        w = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-us, 0)
+        want = df.withColumns({k: b(Framed(w)) for k, b in {**whole, **build}.items()})
+        got = joins.as_of(df, us, ["k"], "ts", {**whole, **build})
+        assert got.schema == want.schema
+        assert str(rows(got)) == str(rows(want))  # NaN isn't equal to itself
+        assert frames(got) and not frames(joins.as_of(df, us, ["k"], "ts", build))
+    # the whole's sum fits, a part's doesn't
+    e = Engine(spark)
+    e.register_frame("s", spark.createDataFrame([("a", at(8), -5), ("a", at(11), top), ("a", at(12), 1), ("a", at(13), None)], "k string, ts timestamp, v long"), "ts")
+    got = e.sql("SELECT SUM(v) AS s, COUNT(v) AS n FROM SLIDING(s, INTERVAL 10 SECOND) GROUP BY k;")
+    assert sorted(tuple(x)[:2] for x in got.collect()) == [(-5, 1), (top - 5, 2), (top - 4, 3), (top - 4, 3)]
+    assert not frames(got)
+    for compat in (False, True):
+        e = Engine(spark, compat=compat)
+        e.register_frame("s", df, "ts")
+        sql = "SELECT k, SUM(v) AS s, MAX(v) AS hi, MIN(v) AS lo, COUNT(v) AS n FROM SLIDING(s, INTERVAL 9 SECOND) GROUP BY k;"
+        v, w = F.col("v"), Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-9_000_000, 0)
+        plain = [F.sum(v).over(w), F.max(v).over(w), F.min(v).over(w), F.count(v).over(w)]
+        if compat:
+            known = ~F.max(v.isNull()).over(w)
+            plain = [F.when(known, plain[0]), F.when(known, F.greatest(F.lit(0), plain[1])), F.when(known, F.least(F.lit(0), plain[2])), F.count("*").over(w)]
+        assert rows(e.sql(sql).drop("window_start")) == rows(df.select("k", *plain, "ts"))
+        assert not frames(e.sql(sql))
+
+
 def test_lookup(spark):
     """The last change up to each row's time, over any number of buckets; a change at the same time counts."""
     from tidewater.operators import joins

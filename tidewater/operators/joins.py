@@ -9,10 +9,14 @@ for theta and cross joins too, and it splits a hot key over time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.functions.aggregates import Framed, Halves, NotSplitError
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
@@ -63,22 +67,46 @@ def latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("row_")).select(*keys, *[F.col("row_")[c].alias(c) for c in rest])
 
 
-def over_interval(df: DataFrame, keys: list[str | Column], ts: str, within_us: int, aggregates: dict[str, Column]) -> DataFrame:
+def over_interval(df: DataFrame, keys: list[str | Column], ts: str, within_us: int, aggregates: dict[str, Column | Callable[[object], Column]]) -> DataFrame:
     """Each row with aggregates over the rows of its keys in the ``within_us`` before it, itself and ties included.
 
     Time is cut into buckets of that length and each row is also in the next one, for others to see. A
     window is then of a key and a bucket, so that a hot key is split over time. Rows without a time see one another.
+
+    An aggregate is given as a function of where functions come from, as ``lambda f: f.sum("v")``. An interval is an
+    end of the bucket before and a beginning of its own, so sum, count, min, max and avg come from two running ones,
+    one of them backwards, and a row costs the same however many its interval has. Sums of floats differ from those in
+    order of time by rounding. Columns, and what ``Halves`` refuses, go through each row's interval.
     """
     at, mine, width = "interval_bucket_", "interval_own_", max(within_us, 1)
-    own = F.floor(micros(F.col(ts)) / width).cast("long")
+    t = micros(F.col(ts))
+    own = t - F.pmod(t, F.lit(width))
     place = lambda b, is_own: F.struct(b.alias("b"), F.lit(is_own).alias("own"))
-    copies = F.when(F.col(ts).isNull(), F.array(place(F.lit(None).cast("long"), True))).otherwise(F.array(place(own, True), place(own + 1, False)))
-    dealt = df.withColumn(at, F.explode(copies)).withColumns({mine: F.col(f"{at}.own"), at: F.col(f"{at}.b")})
-    w = Window.partitionBy(*keys, at).orderBy(micros(F.col(ts))).rangeBetween(-within_us, 0)
-    return dealt.withColumns({k: v.over(w) for k, v in aggregates.items()}).where(mine).drop(at, mine)
-
-
-def as_of(df: DataFrame, within_us: int, keys: list[str], ts: str, aggregates: dict[str, Column]) -> DataFrame:
+    copies = F.when(F.col(ts).isNull(), F.array(place(F.lit(None).cast("long"), True))).otherwise(F.array(place(own, True), place(own + width, False)))
+    out = df.withColumn(at, F.explode(copies)).withColumns({mine: F.col(f"{at}.own"), at: F.col(f"{at}.b")})
+    over = Window.partitionBy(*keys, at)
+    framed = over.orderBy(t).rangeBetween(-within_us, 0)
+    halves, split, whole = Halves(df), {}, {}
+    for name, build in aggregates.items():
+        try:
+            if not isinstance(build, Column):
+                split[name] = build(halves)
+                continue
+            each = build.over(framed)
+        except NotSplitError:
+            each = build(Framed(framed))
+        column = f"interval_whole_{len(whole)}_"
+        whole[column], split[name] = each, F.col(column)
+    # a row of the bucket before is seen until the interval after it
+    back = over.orderBy((t + F.when(F.col(mine), 0).otherwise(within_us)).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    forth = over.orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = {f"{p}0": f(F.when(~F.col(mine), x)).over(back) for p, (f, x) in halves.parts.items()}
+    second = {f"{p}1": f(x).over(forth) for p, (f, x) in halves.parts.items()}
+    out = out.withColumns(whole | first).where(mine)
+    return out.withColumns(second).withColumns(split).drop(at, mine, *whole, *first, *second)
+
+
+def as_of(df: DataFrame, within_us: int, keys: list[str], ts: str, aggregates: dict[str, Column | Callable[[object], Column]]) -> DataFrame:
     """``over_interval`` by names of columns."""
     return over_interval(df, keys, ts, within_us, aggregates)
 

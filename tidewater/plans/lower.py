@@ -11,6 +11,7 @@ import datetime
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -323,7 +324,8 @@ class Lowering:
         own = [F.col(f.own) for f in keys]
         swap = {p: f"a{next(_ids)}" for p in found}
         args = lambda x: [x.args[0], x.args[1].value] if x.value.startswith("TOPK") else x.args
-        build = {p: aggregate(x.value, [self.expr(a, r)[0] if isinstance(a, Expr) else a for a in args(x)], self.compat) for p, x in found.items()}
+        calls = {p: partial(aggregate, x.value, [self.expr(a, r)[0] if isinstance(a, Expr) else a for a in args(x)], self.compat) for p, x in found.items()}
+        build = {p: c() for p, c in calls.items()}
         kind, sizes = r.window or ("", ())
         head = f"Reduce(keys: {', '.join(f.name for f in keys)}; aggregates: {', '.join(found)}" + (f"; {kind} {sizes})" if kind else ")")
         tree = indent(head)
@@ -331,7 +333,7 @@ class Lowering:
             if self.streaming:
                 df = self._sliding(r, [f.own for f in keys], found, build, swap, sizes[0])
             else:
-                df = over_interval(r.df, own, r.ts, sizes[0] * 1000, {swap[p]: c for p, c in build.items()})
+                df = over_interval(r.df, own, r.ts, sizes[0] * 1000, {swap[p]: c for p, c in calls.items()})
             df = df.withColumns({"window_start": F.col(r.ts) - F.make_dt_interval(secs=F.lit(sizes[0] / 1000).cast("decimal(18,6)")), "window_end": F.col(r.ts)})
         else:
             if kind == "TUMBLE":

@@ -225,7 +225,7 @@ def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_of_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return joins.as_of(events, 3_600_000_000, ["user_id"], "ts", {"n": F.count("*")}).select("event_id", "user_id", "n")
+    return joins.as_of(events, 3_600_000_000, ["user_id"], "ts", {"n": lambda f: f.count("*")}).select("event_id", "user_id", "n")
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
