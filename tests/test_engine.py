@@ -240,20 +240,20 @@ def test_stream_sliding_splits_a_hot_key(spark):
     e = Engine(spark, lateness="0 seconds")
     e.execute("CREATE STREAM h (v INTEGER, k STRING);")
     put = lambda v: e.append("h", spark.createDataFrame([(i, "a", at(t)) for i, t in enumerate(v)], "v long, k string, _ts timestamp"))
-    times = [i * i * 7 % 40_000 for i in range(80)] + [0, 3599, 3600, 7199, 7200, 7200, -1, 36_000]
+    times = [i * i * 7 % 40_000 * 24 for i in range(80)] + [0, 86_399, 86_400, 172_799, 172_800, 172_800, -1, 864_000]
     put(times)
     states = lambda q: [p["stateOperators"][0]["numRowsTotal"] for p in q.handles[0].recentProgress if p["stateOperators"]]
-    queries = {w: e.execute(f"SELECT SUM(v) AS s, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, AVG(v) AS m FROM SLIDING(h, INTERVAL {w} SECOND) GROUP BY k EMIT CHANGES;") for w in (7200, 60)}
+    queries = {w: e.execute(f"SELECT SUM(v) AS s, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, AVG(v) AS m FROM SLIDING(h, INTERVAL {w} SECOND) GROUP BY k EMIT CHANGES;") for w in (172_800, 60)}
     for w, q in queries.items():
         e.wait(q)
         parts = [(t, [i for i, x in enumerate(times) if t - w <= x <= t]) for t in times]
         want = [(sum(p), len(p), min(p), max(p), sum(p) / len(p), at(t)) for t, p in parts]
         assert rows(e.changes(q).select("s", "n", "lo", "hi", "m", "window_end")) == rows(spark.createDataFrame(want, "s long, n long, lo long, hi long, m double, e timestamp"))
         assert max(states(q)) >= 6
-    put([400_000])
+    put([9_600_000])
     for w, q in queries.items():
         e.refresh(q)
-        assert states(q)[-1] == 1 + (w == 7200)
+        assert states(q)[-1] == 1 + (w == 172_800)
     put([5])
     for q in queries.values():
         e.refresh(q)

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from tidewater.errors import PlanError
 
-#: The least length of a bucket: with short intervals, buckets of the interval would have few rows each.
-BUCKET_US = 3_600_000_000
+#: The least length of a bucket. Each state has a fixed cost, that of some hundred rows, and shorter buckets have fewer rows each and more of them twice.
+BUCKET_US = 86_400_000_000
 _NAN = float("nan")
 _WIDE = Context(prec=200)
 
@@ -154,7 +154,9 @@ def sliding_step(calls: list[tuple[str, int, T.DataType]], width_us: int, bucket
         times, *values = ([x[i] for i in order] for x in (times, *values))
         at = sorted(asked)
         spans = [(bisect_left(times, t - width_us), bisect_right(times, t)) for t in at]
-        found = [at, *[over_spans(name, k, x, spans) for (name, k, _), x in zip(calls, values, strict=True)]]
+        lo, hi = (spans[0][0], spans[-1][1]) if spans else (0, 0)
+        spans = [(a - lo, b - lo) for a, b in spans]
+        found = [at, *[over_spans(name, k, x[lo:hi], spans) for (name, k, _), x in zip(calls, values, strict=True)]]
         # what no row that is still in time can reach is dropped, and the state with the last of it
         now, until = state.getCurrentWatermarkMs(), -(-(int(key[-1]) + bucket_us + width_us) // 1000)
         if until > now:
